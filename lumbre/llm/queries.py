@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.pit import with_entity
 from ..session import table
-from . import nearest
+from . import names, nearest
 
 
 def _nearest(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,23 @@ def p3_casos(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d).select("caso_id", "empresa_id", F.col("match_id").alias("metrica_id"), F.col("match_days").alias("dias"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_casos": p3_casos}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    tx = table(spark, d, "insider_transactions")
+    people = names.pairs_of(names.name_variants(tx, "empresa_id", "nombre_insider"), ["empresa_id"], "nombre_insider").withColumn("campo", F.lit("nombre_insider"))
+    offices = names.pairs_of(names.title_variants(tx, "cargo"), [], "cargo").withColumn("empresa_id", F.lit(0)).withColumn("campo", F.lit("cargo"))
+    cols = [F.col("empresa_id").cast("int").alias("empresa_id"), "campo", "texto_a", "texto_b"]
+    return people.select(*cols).unionByName(offices.select(*cols))
+
+
+def p5_grupos(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the groups of spellings, per field."""
+    tx = table(spark, d, "insider_transactions")
+    people = names.name_variants(tx, "empresa_id", "nombre_insider").select(F.lit("nombre_insider").alias("campo"), "grupo")
+    offices = names.title_variants(tx, "cargo").select(F.lit("cargo").alias("campo"), "grupo")
+    return people.unionByName(offices).groupBy("campo", "grupo").agg(F.count(F.lit(1)).alias("grafias")).groupBy("campo", "grafias").agg(F.count(F.lit(1)).alias("grupos"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_casos": p3_casos, "p5_found": p5_found, "p5_grupos": p5_grupos}
 
 _NEAR = """
 WITH cases AS (
