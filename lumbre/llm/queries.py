@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.pit import with_entity
 from ..session import table
-from . import names, nearest
+from . import mixing, names, nearest, packing, tokens, truncation
 
 
 def _nearest(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +40,71 @@ def p5_grupos(spark: SparkSession, d: str) -> DataFrame:
     return people.unionByName(offices).groupBy("campo", "grupo").agg(F.count(F.lit(1)).alias("grafias")).groupBy("campo", "grafias").agg(F.count(F.lit(1)).alias("grupos"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_casos": p3_casos, "p5_found": p5_found, "p5_grupos": p5_grupos}
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", "source", tokens.token_count("text").alias("tokens"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    caps = {r["contenedor"]: r["capacidad_tokens"] for r in table(spark, d, "contenedores").select("contenedor", "capacidad_tokens").collect()}  # a fixed table of four
+    return packing.pack(_sizes(spark, d), "doc_id", "tokens", caps)
+
+
+def p6_cajas(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p6_llenado(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fills(_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_sizes(spark, d), "doc_id", "source", "tokens", table(spark, d, "mezclas_objetivo"))
+
+
+def p7_seleccion(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p7_cuotas(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+def _endings(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judge_endings(table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _endings(spark, d).filter("cortado").select("doc_id")
+
+
+def p8_fuentes(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates, and how often at a significant length."""
+    cut = F.col("cortado").cast("int")
+    return _endings(spark, d).groupBy("source").agg(
+        F.count(F.lit(1)).alias("documentos"), F.sum(cut).alias("cortados"), F.sum(cut * F.col("limite").cast("int")).alias("en_limite"), F.round(F.avg(cut), 6).alias("tasa")
+    )
+
+
+def p8_riesgos(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of the sources with their documents and those still at risk."""
+    docs = table(spark, d, "documents").select("source", F.length("text").alias("largo"))
+    return truncation.length_hazards(docs, "source", "largo").select("source", F.col("largo").cast("long").alias("largo"), "docs", "at_risk")
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_casos": p3_casos,
+    "p5_found": p5_found,
+    "p5_grupos": p5_grupos,
+    "p6_cajas": p6_cajas,
+    "p6_llenado": p6_llenado,
+    "p7_seleccion": p7_seleccion,
+    "p7_cuotas": p7_cuotas,
+    "p8_found": p8_found,
+    "p8_fuentes": p8_fuentes,
+    "p8_riesgos": p8_riesgos,
+}
 
 _NEAR = """
 WITH cases AS (
@@ -57,4 +121,7 @@ near AS (
 SQL = {
     "p3_found": _NEAR + "SELECT caso_id, id AS metrica_id FROM near WHERE rn = 1",
     "p3_casos": _NEAR + "SELECT c.caso_id, c.empresa_id, n.id AS metrica_id, CAST(n.dias AS INTEGER) AS dias FROM cases c LEFT JOIN near n ON n.caso_id = c.caso_id AND n.rn = 1",
+    "p8_riesgos": """
+WITH n AS (SELECT source, CAST(length(text) AS BIGINT) AS largo, count(*) AS docs FROM documents WHERE text IS NOT NULL GROUP BY 1, 2)
+SELECT source, largo, docs, CAST(sum(docs) OVER (PARTITION BY source ORDER BY largo DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS at_risk FROM n""",
 }
