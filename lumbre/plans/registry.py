@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import filings, problems
 
-MODULES = (problems,)
+MODULES = (filings, problems)
 
 
 def queries() -> dict:
