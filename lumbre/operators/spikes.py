@@ -38,73 +38,93 @@ def _nanmedian(rows: np.ndarray) -> np.ndarray:
     return np.where(k > 0, (lo + hi) / 2, np.nan)
 
 
-def _local(y: np.ndarray, width: int) -> np.ndarray:
-    """Residual of each value against the nearer of its two neighbourhoods.
-
-    A lasting change of level agrees with one neighbourhood, so only values
-    that leave both sides keep a large residual."""
-    d = np.diff(y)
+def _local(y: np.ndarray, use: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(residual, one_sided) of each value against the nearer of its neighbourhoods.
+
+    A lasting change of level agrees with one neighbourhood, so only values that
+    leave both sides keep a large residual. Neighbourhoods hold values in ``use``;
+    a side with fewer than two has no say."""
+    fit = np.where(use, y, np.nan)
+    at = np.flatnonzero(use)
+    d = np.diff(y[at]) / np.diff(at)
     slope = float(np.median(d)) if len(d) >= 4 else 0.0
-    b, a = _side_medians(y, width)
-    n = len(y)
-    have_b = np.minimum(np.arange(n), width)
-    have_a = np.minimum(np.arange(n)[::-1], width)
-    rb = y - (b + slope * (have_b + 1) / 2)
-    ra = y - (a - slope * (have_a + 1) / 2)
-    rb = np.where(have_b >= 2, rb, np.nan)
-    ra = np.where(have_a >= 2, ra, np.nan)
-    both = np.where(np.abs(rb) <= np.abs(ra), rb, ra)
-    mean = y - np.where(np.isnan(b) | np.isnan(a), y, (b + a) / 2)
-    out = np.where(np.isnan(rb), ra, np.where(np.isnan(ra), rb, both))
+    pos = np.where(use, np.arange(len(y), dtype=float), np.nan)
+    b, a = _side_medians(fit - slope * np.arange(len(y)), width)
+    nb, na = _side_counts(pos, width)
+    flat = y - slope * np.arange(len(y))
+    rb = np.where(nb >= 2, flat - b, np.nan)
+    ra = np.where(na >= 2, flat - a, np.nan)
+    one = np.isnan(rb) | np.isnan(ra)
+    near = np.where(np.isnan(rb), ra, np.where(np.isnan(ra), rb, np.where(np.abs(rb) <= np.abs(ra), rb, ra)))
+    mean = flat - (b + a) / 2
     # between two agreeing sides the middle is the better forecast
-    calm = ~np.isnan(rb) & ~np.isnan(ra) & (np.abs(mean) < np.abs(out))
-    return np.where(calm, mean, out)
-
-
-def seasonal_residuals(quarter: np.ndarray, value: np.ndarray, period: int = 4, width: int = 3) -> np.ndarray:
-    """Residuals of log|value| against level, trend and season of the same series.
-
-    ``quarter`` are ordinal positions in ascending order; zero and NaN values
-    give NaN, and so does a series of fewer than five readings. The season of a
-    phase is the median of its residuals where the phase was seen three times;
-    of two sightings the smaller one counts if both have the same sign, so that
-    a peak must recur before it is taken for a season."""
-    y = np.full(len(value), np.nan)
-    ok = np.isfinite(value) & (value != 0)
-    y[ok] = np.log(np.abs(value[ok]))
-    out = np.full(len(value), np.nan)
-    idx = np.flatnonzero(ok)
+    return np.where(~one & (np.abs(mean) < np.abs(near)), mean, near), one
+
+
+def _side_counts(y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    ok = np.r_[np.zeros(width), ~np.isnan(y), np.zeros(width)]
+    c = np.r_[0, np.cumsum(ok)]
+    i = np.arange(len(y)) + width
+    return c[i] - c[i - width], c[i + 1 + width] - c[i + 1]
+
+
+def _season(r: np.ndarray, phase: np.ndarray, use: np.ndarray, period: int) -> np.ndarray:
+    """Effect of each phase: the median where it was seen three times; of two
+    sightings the smaller one if both have the same sign, so that a peak must
+    recur before it is taken for a season."""
+    out = np.zeros(period)
+    for p in range(period):
+        v = r[(phase == p) & use & np.isfinite(r)]
+        if len(v) >= 3:
+            out[p] = np.median(v)
+        elif len(v) == 2 and v[0] * v[1] > 0:
+            out[p] = v[np.argmin(np.abs(v))]
+    return out - np.median(out)
+
+
+def seasonal_residuals(quarter: np.ndarray, value: np.ndarray, period: int = 4, width: int = 3, rounds: int = 3) -> tuple[np.ndarray, float, np.ndarray]:
+    """(residuals of log|value|, their 80 % quantile, one_sided) of a series.
+
+    Level, trend and season come from the series itself. Readings far outside are
+    left out of the next round's fit, unless every sighting of their phase lies
+    outside on the same side: then it is a season. ``quarter`` are ordinal
+    positions in ascending order; zero and NaN values give NaN, and so does a
+    series of fewer than five readings."""
+    out, one = np.full(len(value), np.nan), np.ones(len(value), bool)
+    idx = np.flatnonzero(np.isfinite(value) & (value != 0))
     if len(idx) < 5:
-        return out
-    ys, ph = y[idx], quarter[idx] % period
-    season = np.zeros(period)
-    for _ in range(4):
-        r = _trend_residual(ys - season[ph], width)
+        return out, np.nan, one
+    y, phase = np.log(np.abs(value[idx])), quarter[idx] % period
+    use = np.ones(len(y), bool)
+    for k in range(rounds):
+        season = np.zeros(period)
+        for _ in range(3):
+            fit = np.where(use, y - season[phase], np.nan)
+            b, a = _side_medians(fit, width + 1)
+            mid = np.where(np.isnan(b), a, np.where(np.isnan(a), b, (b + a) / 2))
+            season += _season(y - season[phase] - mid, phase, use, period)
+        r, side = _local(y - season[phase], use, width)
+        scale = max(float(np.nanquantile(np.abs(r[use]), 0.8)) if np.isfinite(r[use]).any() else np.nan, 1e-3)
+        far = np.abs(r) > max(3.5 * scale, 0.3)
         for p in range(period):
-            v = r[ph == p]
-            v = v[np.isfinite(v)]
-            if len(v) >= 3:
-                season[p] += np.median(v)
-            elif len(v) == 2 and v[0] * v[1] > 0:
-                season[p] += v[np.argmin(np.abs(v))]
-        season -= np.median(season)
-    out[idx] = _local(ys - season[ph], width)
-    return out
-
-
-def _trend_residual(y: np.ndarray, width: int) -> np.ndarray:
-    """Difference to the centred running median over one year on each side."""
-    b, a = _side_medians(y, width + 1)
-    return y - np.where(np.isnan(b), a, np.where(np.isnan(a), b, (b + a) / 2))
+            at = np.flatnonzero(phase == p)
+            if len(at) >= 2 and far[at].all() and (np.sign(r[at]) == np.sign(r[at[0]])).all():
+                far[at] = False
+        keep = ~far
+        if k == rounds - 1 or (keep == use).all() or keep.sum() < 5:
+            break
+        use = keep
+    out[idx], one[idx] = r, side
+    return out, scale, one
 
 
-MODEL_SCHEMA = "campo string, q int, esperado double, u0 double, exceso double, positivo boolean, congelado double"
+MODEL_SCHEMA = "campo string, q int, esperado double, u0 double, exceso double, positivo boolean, congelado double, lado boolean"
 
 
 def _model_one(q: np.ndarray, v: np.ndarray, min_run: int) -> dict[str, np.ndarray]:
     """Expected log level, tail threshold and rules for the readings of one series."""
     n = len(v)
-    r = seasonal_residuals(q, v)
+    r, u0, one = seasonal_residuals(q, v)
     y = np.full(n, np.nan)
     nz = np.isfinite(v) & (v != 0)
     y[nz] = np.log(np.abs(v[nz]))
@@ -114,8 +134,8 @@ def _model_one(q: np.ndarray, v: np.ndarray, min_run: int) -> dict[str, np.ndarr
         np.fill_diagonal(d, np.inf)
         r = np.full(n, np.nan)
         r[idx] = d[np.arange(len(idx)), np.abs(d).argmin(axis=1)]
+        u0 = max(float(np.median(np.abs(r[idx]))), 0.1)
     fin = np.abs(r[np.isfinite(r)])
-    u0 = max(float(np.quantile(fin, 0.8)), 1e-3) if len(fin) else np.nan
     exc = fin[fin > u0] / u0 - 1 if len(fin) else fin
     neg = int((v < 0).sum())
     always = bool(n >= 4 and neg <= max(1, n // 10) and (v > 0).sum() >= 3)
@@ -132,6 +152,7 @@ def _model_one(q: np.ndarray, v: np.ndarray, min_run: int) -> dict[str, np.ndarr
         "exceso": np.full(n, float(np.median(exc)) if len(exc) else np.nan),
         "positivo": np.full(n, always),
         "congelado": frozen,
+        "lado": one,
     }
 
 
@@ -145,7 +166,7 @@ def _modeller(fields: list[str], min_run: int):
                 continue
             q, v = s["q"].to_numpy(int), s[f].to_numpy(float)
             out.append(pd.DataFrame({"campo": f, "q": q, **_model_one(q, v, min_run)}))
-        cols = ["campo", "q", "esperado", "u0", "exceso", "positivo", "congelado"]
+        cols = ["campo", "q", "esperado", "u0", "exceso", "positivo", "congelado", "lado"]
         res = pd.concat(out)[cols] if out else pd.DataFrame(columns=cols)
         res.insert(0, "__e", pdf["__e"].iloc[0])
         return res
@@ -197,10 +218,11 @@ def flag_implausible(
     positive: tuple[str, ...] = ("revenue",),
     strictly_positive: tuple[str, ...] = ("shares_outstanding",),
     bounded: tuple[tuple[str, str], ...] = (("gross_profit", "revenue"),),
-    risk: float = 5e-3,
+    risk: float = 8e-3,
     min_change: float = 0.45,
     min_run: int = 4,
     prior: float = 20.0,
+    edge: float = 1.5,
 ) -> DataFrame:
     """One row (row_id, campo, motivo) per reading that cannot be right.
 
@@ -209,7 +231,8 @@ def flag_implausible(
     ``congelado`` (the second and later of ``min_run`` equal non-zero readings),
     ``signo`` (negative in a series that is otherwise positive) and ``pico``
     (residual beyond the fitted cutoff and a change of at least ``min_change``
-    in logarithms).
+    in logarithms). The cutoff is ``edge`` times as high where readings stand on
+    one side only, as at the ends of a series.
 
     A series is modelled on the first published reading of each quarter, so
     repeated rows and restatements neither widen nor hide it; every row is then
@@ -248,7 +271,7 @@ def flag_implausible(
     first_long = first_long.withColumn("campo", F.element_at(F.array(*[F.lit(f) for f in fs]), F.col("k") + 1)).select("__e", "q", "campo", "v")
     tail = model.join(first_long, ["__e", "q", "campo"]).withColumn("w", F.abs(F.log(F.abs("v")) - F.col("esperado")) / F.col("u0") - 1).filter("w > 0")
     sizes = model.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("__e", "campo")))
-    cut = sizes.withColumn("corte", _cutoffs(tail, fs, risk, prior)).drop("exceso", "n")
+    cut = sizes.withColumn("corte", _cutoffs(tail, fs, risk, prior) * F.when(F.col("lado"), edge).otherwise(1.0)).drop("exceso", "n", "lado")
     j = long.join(cut, ["__e", "q", "campo"], "left")
     resid = F.abs(F.log(F.abs(F.col("v"))) - F.col("esperado"))
     base = (
