@@ -13,19 +13,22 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 _EPS = 1e-9
+#: Units of a group that the flight leaves open, so that the landing has a choice.
+HOLD = 12
 
 
-def flight(prob: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+def flight(prob: np.ndarray, size: np.ndarray, seed: int, hold: int = 0) -> np.ndarray:
     """Probabilities after the flight phase, balanced on count and total size.
 
     Three open units at a time move along the one direction that keeps both the
     sum of probabilities and the expected size, up to the first that reaches 0 or
     1, forward or back with the odds that leave every probability unbiased. At
-    most two units stay open."""
+    most two units stay open, and the last ``hold`` are not touched."""
     p = prob.astype(float).copy()
     rng = random.Random(seed)
     act: list[int] = []
-    for i in np.flatnonzero((p > _EPS) & (p < 1 - _EPS)).tolist():
+    todo = np.flatnonzero((p > _EPS) & (p < 1 - _EPS)).tolist()
+    for i in todo[: max(0, len(todo) - hold)]:
         act.append(i)
         while len(act) == 3:
             a, b, c = act
@@ -53,10 +56,11 @@ def landing(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
     k = np.flatnonzero((prob > 0) & (prob < 1))
     out = prob.copy()
     if len(k):
-        goal, n = float(prob[k] @ size[k]), float(prob[k].sum())
-        best = min(range(1 << len(k)), key=lambda m: (abs(sum(float(size[x]) for j, x in enumerate(k) if m >> j & 1) - goal), abs(m.bit_count() - n), m))
-        for j, x in enumerate(k):
-            out[x] = float(best >> j & 1)
+        pick = (np.arange(1 << len(k))[:, None] >> np.arange(len(k))) & 1
+        off = np.abs(pick @ size[k].astype(float) - prob[k] @ size[k])
+        n_off = np.abs(pick.sum(axis=1) - prob[k].sum())
+        ok = n_off < 1  # the number of items first, then their size
+        out[k] = pick[np.flatnonzero(ok)[np.lexsort((n_off[ok], off[ok]))[0]]]
     return out
 
 
@@ -84,8 +88,8 @@ def mix(
     repeats; each source then needs every item a whole number of times and a
     share of once more. That share is drawn by the cube method: the flight phase
     runs in groups of about ``group_items`` of a source, its few open units go to
-    the next, wider round, and only the last two of a source are rounded. So the
-    drawn size of a source differs from its target by less than one item.
+    the next, wider round, and only the last of a source, ``HOLD`` and two at
+    most, are rounded to the selection nearest in number and size.
 
     Items without id or source, or with a null, zero or negative size are never
     drawn; repeated ids are items of their own; sources outside a mix are left
@@ -116,7 +120,7 @@ def mix(
         key = sum(ord(c) * (i + 1) for i, c in enumerate(f"{pdf['m'].iloc[0]}|{pdf['s'].iloc[0]}|{pdf['g'].iloc[0]}"))
         order = np.random.default_rng([seed, key]).permutation(len(pdf))
         p = np.empty(len(pdf))
-        p[order] = flight(pdf["p"].to_numpy()[order], pdf["z"].to_numpy()[order], seed + key)
+        p[order] = flight(pdf["p"].to_numpy()[order], pdf["z"].to_numpy()[order], seed + key, HOLD)
         pdf["p"] = p
         return pdf
 
