@@ -9,6 +9,7 @@ and for values that cannot exist complete the flags.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,23 +20,30 @@ from pyspark.sql import functions as F
 MAD_SIGMA = 1.4826
 
 
-def _side_medians(y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Median of up to ``width`` values before and after each position (NaN where none)."""
-    n = len(y)
-    pad = np.full(width, np.nan)
-    ext = np.concatenate([pad, y, pad])
-    win = np.lib.stride_tricks.sliding_window_view(ext, width)
-    before, after = win[:n], win[width + 1 : width + 1 + n]
-    with np.errstate(all="ignore"):
-        return _nanmedian(before), _nanmedian(after)
+def _median(rows: np.ndarray) -> np.ndarray:
+    """Median of the last axis without NaN; NaN where there is nothing."""
+    s = np.sort(rows, axis=-1)  # NaN goes last
+    k = (~np.isnan(s)).sum(axis=-1)
+    take = lambda i: np.take_along_axis(s, np.clip(i, 0, s.shape[-1] - 1)[..., None], axis=-1)[..., 0]
+    return np.where(k > 0, (take((k - 1) // 2) + take(k // 2)) / 2, np.nan)
 
 
-def _nanmedian(rows: np.ndarray) -> np.ndarray:
-    s = np.sort(rows, axis=1)  # NaN goes last
-    k = (~np.isnan(s)).sum(axis=1)
-    i = np.arange(len(s))
-    lo, hi = s[i, np.maximum((k - 1) // 2, 0)], s[i, np.maximum(k // 2, 0).clip(max=s.shape[1] - 1)]
-    return np.where(k > 0, (lo + hi) / 2, np.nan)
+def _quantile(rows: np.ndarray, q: float) -> np.ndarray:
+    s = np.sort(rows, axis=-1)
+    k = (~np.isnan(s)).sum(axis=-1)
+    at = np.maximum(k - 1, 0) * q
+    lo = np.floor(at).astype(int)
+    take = lambda i: np.take_along_axis(s, np.clip(i, 0, s.shape[-1] - 1)[..., None], axis=-1)[..., 0]
+    low = take(lo)
+    return np.where(k > 0, low + (take(np.minimum(lo + 1, np.maximum(k - 1, 0))) - low) * (at - lo), np.nan)
+
+
+def _sides(y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the up to ``width`` values before it and after it."""
+    n = y.shape[1]
+    pad = np.full((len(y), width), np.nan)
+    win = np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, y, pad], axis=1), width, axis=1)
+    return win[:, :n], win[:, width + 1 : width + 1 + n]
 
 
 def _local(y: np.ndarray, use: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,16 +52,18 @@ def _local(y: np.ndarray, use: np.ndarray, width: int) -> tuple[np.ndarray, np.n
     A lasting change of level agrees with one neighbourhood, so only values that
     leave both sides keep a large residual. Neighbourhoods hold values in ``use``;
     a side with fewer than two has no say."""
-    fit = np.where(use, y, np.nan)
-    at = np.flatnonzero(use)
-    d = np.diff(y[at]) / np.diff(at)
-    slope = float(np.median(d)) if len(d) >= 4 else 0.0
-    pos = np.where(use, np.arange(len(y), dtype=float), np.nan)
-    b, a = _side_medians(fit - slope * np.arange(len(y)), width)
-    nb, na = _side_counts(pos, width)
-    flat = y - slope * np.arange(len(y))
-    rb = np.where(nb >= 2, flat - b, np.nan)
-    ra = np.where(na >= 2, flat - a, np.nan)
+    at = np.broadcast_to(np.arange(y.shape[1]), y.shape)
+    seen = np.maximum.accumulate(np.where(use, at, -1), axis=1)
+    prev = np.concatenate([np.full((len(y), 1), -1), seen[:, :-1]], axis=1)
+    ok = use & (prev >= 0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d = np.where(ok, (y - np.take_along_axis(y, np.maximum(prev, 0), axis=1)) / (at - prev), np.nan)
+    slope = np.where(ok.sum(axis=1) >= 4, _median(d), 0.0)[:, None]
+    flat = y - slope * at
+    before, after = _sides(np.where(use, flat, np.nan), width)
+    nb, na = (~np.isnan(before)).sum(axis=2), (~np.isnan(after)).sum(axis=2)
+    b, a = _median(before), _median(after)
+    rb, ra = np.where(nb >= 2, flat - b, np.nan), np.where(na >= 2, flat - a, np.nan)
     one = np.isnan(rb) | np.isnan(ra)
     near = np.where(np.isnan(rb), ra, np.where(np.isnan(ra), rb, np.where(np.abs(rb) <= np.abs(ra), rb, ra)))
     mean = flat - (b + a) / 2
@@ -61,115 +71,126 @@ def _local(y: np.ndarray, use: np.ndarray, width: int) -> tuple[np.ndarray, np.n
     return np.where(~one & (np.abs(mean) < np.abs(near)), mean, near), one
 
 
-def _side_counts(y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    ok = np.r_[np.zeros(width), ~np.isnan(y), np.zeros(width)]
-    c = np.r_[0, np.cumsum(ok)]
-    i = np.arange(len(y)) + width
-    return c[i] - c[i - width], c[i + 1 + width] - c[i + 1]
-
-
 def _season(r: np.ndarray, phase: np.ndarray, use: np.ndarray, period: int) -> np.ndarray:
     """Effect of each phase: the median where it was seen three times; of two
     sightings the smaller one if both have the same sign, so that a peak must
     recur before it is taken for a season."""
-    out = np.zeros(period)
+    out = np.zeros((len(r), period))
     for p in range(period):
-        v = r[(phase == p) & use & np.isfinite(r)]
-        if len(v) >= 3:
-            out[p] = np.median(v)
-        elif len(v) == 2 and v[0] * v[1] > 0:
-            out[p] = v[np.argmin(np.abs(v))]
-    return out - np.median(out)
-
-
-def seasonal_residuals(quarter: np.ndarray, value: np.ndarray, period: int = 4, width: int = 3, rounds: int = 3) -> tuple[np.ndarray, float, np.ndarray]:
-    """(residuals of log|value|, their 80 % quantile, one_sided) of a series.
-
-    Level, trend and season come from the series itself. Readings far outside are
-    left out of the next round's fit, unless every sighting of their phase lies
-    outside on the same side: then it is a season. ``quarter`` are ordinal
-    positions in ascending order; zero and NaN values give NaN, and so does a
-    series of fewer than five readings."""
-    out, one = np.full(len(value), np.nan), np.ones(len(value), bool)
-    idx = np.flatnonzero(np.isfinite(value) & (value != 0))
-    if len(idx) < 5:
-        return out, np.nan, one
-    y, phase = np.log(np.abs(value[idx])), quarter[idx] % period
-    use = np.ones(len(y), bool)
+        v = np.where((phase == p) & use, r, np.nan)
+        k = (~np.isnan(v)).sum(axis=1)
+        lo, hi = np.where(np.isnan(v), np.inf, v).min(axis=1), np.where(np.isnan(v), -np.inf, v).max(axis=1)
+        with np.errstate(invalid="ignore"):
+            two = np.where(lo * hi > 0, np.where(np.abs(lo) < np.abs(hi), lo, hi), 0.0)
+        out[:, p] = np.where(k >= 3, _median(v), np.where(k == 2, two, 0.0))
+    return out - np.median(out, axis=1, keepdims=True)
+
+
+def seasonal_residuals(phase: np.ndarray, y: np.ndarray, period: int = 4, width: int = 3, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(residuals, their 80 % quantile, one_sided) of many series, one per row.
+
+    ``y`` holds logarithms from the left in order of time, NaN behind a series'
+    end. Level, trend and season come from the series itself. Readings far outside
+    are left out of the next round's fit, unless every sighting of their phase
+    lies outside on the same side: then it is a season. Series of fewer than five
+    readings get NaN."""
+    valid = ~np.isnan(y)
+    enough = valid.sum(axis=1) >= 5
+    use = valid.copy()
     for k in range(rounds):
-        season = np.zeros(period)
+        season = np.zeros((len(y), period))
         for _ in range(3):
-            fit = np.where(use, y - season[phase], np.nan)
-            b, a = _side_medians(fit, width + 1)
+            calm = y - np.take_along_axis(season, phase, axis=1)
+            b, a = (_median(x) for x in _sides(np.where(use, calm, np.nan), width + 1))
             mid = np.where(np.isnan(b), a, np.where(np.isnan(a), b, (b + a) / 2))
-            season += _season(y - season[phase] - mid, phase, use, period)
-        r, side = _local(y - season[phase], use, width)
-        scale = max(float(np.nanquantile(np.abs(r[use]), 0.8)) if np.isfinite(r[use]).any() else np.nan, 1e-3)
-        far = np.abs(r) > max(3.5 * scale, 0.3)
+            season += _season(calm - mid, phase, use, period)
+        r, one = _local(y - np.take_along_axis(season, phase, axis=1), use, width)
+        scale = np.maximum(_quantile(np.where(use, np.abs(r), np.nan), 0.8), 1e-3)
+        far = np.abs(r) > np.maximum(3.5 * scale, 0.3)[:, None]
         for p in range(period):
-            at = np.flatnonzero(phase == p)
-            if len(at) >= 2 and far[at].all() and (np.sign(r[at]) == np.sign(r[at[0]])).all():
-                far[at] = False
-        keep = ~far
-        if k == rounds - 1 or (keep == use).all() or keep.sum() < 5:
+            at = (phase == p) & valid
+            up, down, n = (at & far & (r > 0)).sum(axis=1), (at & far & (r < 0)).sum(axis=1), at.sum(axis=1)
+            far &= ~(at & ((n >= 2) & ((up == n) | (down == n)))[:, None])
+        keep = valid & ~far
+        keep = np.where((keep.sum(axis=1) >= 5)[:, None], keep, use)
+        if k == rounds - 1 or (keep == use).all():
             break
         use = keep
-    out[idx], one[idx] = r, side
-    return out, scale, one
+    r = np.where(enough[:, None], r, np.nan)
+    return r, np.where(enough, scale, np.nan), one
+
+
+def _short(y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Residuals of three or four readings: the distance to the nearest other one."""
+    d = y[:, None] - y[None, :]
+    np.fill_diagonal(d, np.inf)
+    r = d[np.arange(len(y)), np.abs(d).argmin(axis=1)]
+    return r, max(float(np.median(np.abs(r))), 0.1)
 
 
+MODEL = ("campo", "q", "esperado", "u0", "exceso", "positivo", "congelado", "lado")
 MODEL_SCHEMA = "campo string, q int, esperado double, u0 double, exceso double, positivo boolean, congelado double, lado boolean"
 
 
-def _model_one(q: np.ndarray, v: np.ndarray, min_run: int) -> dict[str, np.ndarray]:
-    """Expected log level, tail threshold and rules for the readings of one series."""
-    n = len(v)
-    r, u0, one = seasonal_residuals(q, v)
-    y = np.full(n, np.nan)
-    nz = np.isfinite(v) & (v != 0)
-    y[nz] = np.log(np.abs(v[nz]))
-    if np.isnan(r).all() and nz.sum() >= 3:  # too short for a model: the nearest other reading
-        idx = np.flatnonzero(nz)
-        d = y[idx][:, None] - y[idx][None, :]
-        np.fill_diagonal(d, np.inf)
-        r = np.full(n, np.nan)
-        r[idx] = d[np.arange(len(idx)), np.abs(d).argmin(axis=1)]
-        u0 = max(float(np.median(np.abs(r[idx]))), 0.1)
-    fin = np.abs(r[np.isfinite(r)])
-    exc = fin[fin > u0] / u0 - 1 if len(fin) else fin
-    neg = int((v < 0).sum())
-    always = bool(n >= 4 and neg <= max(1, n // 10) and (v > 0).sum() >= 3)
-    frozen = np.full(n, np.nan)
-    start = 0
-    for i in range(1, n + 1):
-        if i == n or v[i] != v[start]:
-            if i - start >= min_run and v[start] != 0:
-                frozen[start + 1 : i] = v[start]
-            start = i
-    return {
-        "esperado": y - r,
-        "u0": np.full(n, u0),
-        "exceso": np.full(n, float(np.median(exc)) if len(exc) else np.nan),
-        "positivo": np.full(n, always),
-        "congelado": frozen,
-        "lado": one,
-    }
-
-
-def _modeller(fields: list[str], min_run: int):
-    def model(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("q")
-        out = []
-        for f in fields:
-            s = pdf[["q", f]].dropna()
-            if len(s) == 0:
+def _model(ent: np.ndarray, q: np.ndarray, v: np.ndarray, min_run: int) -> dict[str, np.ndarray]:
+    """Expected log level, tail threshold and rules for readings sorted by entity and
+    quarter, all series of one field at a time."""
+    start = np.flatnonzero(np.r_[True, ent[1:] != ent[:-1]])
+    size = np.diff(np.r_[start, len(ent)])
+    series = np.repeat(np.arange(len(start)), size)
+    # rules on all readings
+    neg, pos = np.add.reduceat((v < 0).astype(int), start), np.add.reduceat((v > 0).astype(int), start)
+    always = (size >= 4) & (neg <= np.maximum(1, size // 10)) & (pos >= 3)
+    run = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (series[1:] != series[:-1])])
+    length = np.repeat(np.diff(np.r_[run, len(v)]), np.diff(np.r_[run, len(v)]))
+    first = np.zeros(len(v), bool)
+    first[run] = True
+    frozen = np.where((length >= min_run) & ~first & (v != 0), v, np.nan)
+    # residuals of the non-zero ones, one row per series
+    nz = np.flatnonzero(v != 0)
+    esperado, u0, exceso, lado = np.full(len(v), np.nan), np.full(len(start), np.nan), np.full(len(start), np.nan), np.ones(len(v), bool)
+    if len(nz):
+        row = series[nz]
+        head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        k = np.diff(np.r_[head, len(row)])
+        line = np.repeat(np.arange(len(head)), k)
+        col = np.arange(len(row)) - np.repeat(head, k)
+        shape = (len(head), int(k.max()))
+        y, phase = np.full(shape, np.nan), np.zeros(shape, int)
+        y[line, col], phase[line, col] = np.log(np.abs(v[nz])), q[nz] % 4
+        r, scale, one = seasonal_residuals(phase, y)
+        for i in np.flatnonzero((k >= 3) & (k < 5)):
+            r[i, : k[i]], scale[i] = _short(y[i, : k[i]])
+        esperado[nz], lado[nz] = (y - r)[line, col], one[line, col]
+        u0[row[head]] = scale
+        e = np.abs(r) / scale[:, None] - 1
+        exceso[row[head]] = _median(np.where(e > 0, e, np.nan))
+    return {"q": q, "esperado": esperado, "u0": u0[series], "exceso": exceso[series], "positivo": always[series], "congelado": frozen, "lado": lado}
+
+
+def _modeller(fields: list[str], min_run: int, batch: int = 2_000):
+    def model(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for f in fields:
+                s = pdf[["__e", "q", f]].dropna()
+                if len(s):
+                    got = _model(s["__e"].to_numpy(), s["q"].to_numpy(int), s[f].to_numpy(float), min_run)
+                    out.append(pd.DataFrame({"__e": s["__e"].to_numpy(), "campo": f, **got}))
+            return pd.concat(out)[["__e", *MODEL]] if out else pd.DataFrame(columns=["__e", *MODEL])
+
+        held: list[pd.DataFrame] = []
+        for pdf in frames:  # sorted by entity; an entity may go on in the next frame
+            held.append(pdf)
+            if sum(map(len, held)) < batch * 20:
                 continue
-            q, v = s["q"].to_numpy(int), s[f].to_numpy(float)
-            out.append(pd.DataFrame({"campo": f, "q": q, **_model_one(q, v, min_run)}))
-        cols = ["campo", "q", "esperado", "u0", "exceso", "positivo", "congelado", "lado"]
-        res = pd.concat(out)[cols] if out else pd.DataFrame(columns=cols)
-        res.insert(0, "__e", pdf["__e"].iloc[0])
-        return res
+            all_ = pd.concat(held)
+            last = (all_["__e"] == all_["__e"].iloc[-1]).to_numpy()
+            if not last.all():
+                yield fit(all_[~last])
+                held = [all_[last]]
+        if held and sum(map(len, held)):
+            yield fit(pd.concat(held))
 
     return model
 
@@ -260,7 +281,7 @@ def flag_implausible(
         .agg(*[F.min(F.when(F.col(f).isNotNull(), F.struct(order.alias("o"), F.col(f).alias("v"))))["v"].alias(f) for f in fs])
     )
     kind = df.schema[entity].dataType.simpleString()
-    model = first.groupBy("__e").applyInPandas(_modeller(fs, min_run), f"__e {kind}, {MODEL_SCHEMA}")
+    model = first.repartition("__e").sortWithinPartitions("__e", "q").mapInPandas(_modeller(fs, min_run), f"__e {kind}, {MODEL_SCHEMA}")
     # the model is used twice (pooled tail, then rows); it is one small row per entity, quarter and field
     model = model.withColumn("exceso", F.nanvl("exceso", F.lit(None))).withColumn("esperado", F.nanvl("esperado", F.lit(None)))
     model = model.withColumn("u0", F.nanvl("u0", F.lit(None))).withColumn("congelado", F.nanvl("congelado", F.lit(None)))
