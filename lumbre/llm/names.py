@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..session import cut_lineage
 
 # Fixed values ---------------------------------------------------------------
 
@@ -390,8 +391,10 @@ def accepted_pairs(spellings: DataFrame) -> DataFrame:
     an initial) is linked only where its partners agree on that point: with two
     different answers among them it could mean either, and those links fall."""
     keyed = spellings.select(F.col("e").cast("long").alias("e"), "t").mapInPandas(_keys_of, "e long, t string, k string")
+    keyed = cut_lineage(keyed)  # both sides of the join below
     pairs = keyed.select("e", "k", F.col("t").alias("a")).join(keyed.select("e", "k", F.col("t").alias("b")), ["e", "k"]).filter("a < b").select("e", "a", "b").distinct()
     got = pairs.mapInPandas(_compared, "e long, a string, b string, open_a string, open_b string")
+    got = cut_lineage(got)  # each pair is compared once
     both = got.select("e", "a", "b", F.col("open_a").alias("o"), F.lit(True).alias("own_a")).unionByName(got.select("e", F.col("b").alias("a"), F.col("a").alias("b"), F.col("open_b").alias("o"), F.lit(False).alias("own_a")))
     doubts = both.select("e", "a", F.explode(F.split("o", r"\|")).alias("x")).filter("x <> ''").select("e", "a", F.substring("x", 1, 1).alias("what"), "x").distinct()
     doubts = doubts.groupBy("e", "a", "what").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("e", "a").agg(F.collect_set("what").alias("bad"))
