@@ -109,7 +109,8 @@ def mix(
     plan = plan.withColumn("whole", F.floor(F.col("mult") + 1e-9).cast("int")).withColumn("frac", F.greatest(F.col("mult") - F.col("whole"), F.lit(0.0)))
     plan = plan.withColumn("groups", F.greatest(F.ceil(F.col("docs") / group_items), F.lit(1)).cast("int"))
     plan = cut_lineage(plan)  # one row per mix and source
-    cells = base.join(F.broadcast(plan.filter("total is not null").select("m", "s", "whole", "frac", "groups")), "s")
+    cells_plan = plan.filter("total is not null").select("m", "s", "whole", "frac", "groups")
+    cells = base.join(F.broadcast(cells_plan) if plan.count() <= 10_000 else cells_plan, "s")
     g = F.pmod(F.xxhash64("id", "z", "m"), F.col("groups")).cast("int")
     cells = cells.select("m", "s", "id", "z", "whole", F.col("frac").alias("p"), g.alias("g"))
     sure = cells.filter("p <= 1e-9").select("m", "s", "id", "z", F.col("whole").alias("rep"))

@@ -309,8 +309,8 @@ def compare(a: Name, b: Name) -> tuple[str, ...] | None:
 
 def block_keys(name: Name) -> list[str]:
     """Phonetic codes of the tokens in order of the alphabet, and of both ends of
-    long ones, and first letters of family and given name, so that a slip leaves a
-    key intact."""
+    long ones with the first letters of the other tokens, and the first letters
+    alone, so that a slip leaves a key intact."""
     keys = set()
     toks = sorted(t for t in name.long if not (name.org and t in ORG_WORDS)) or sorted(name.long)
     if name.org:
@@ -319,14 +319,14 @@ def block_keys(name: Name) -> list[str]:
     else:
         family = [t for t in toks if t not in _GIVEN] or toks
         for x in family:
+            firsts = {n[0] for t in toks if t != x for n in (*_GIVEN.get(t, ()), t)} | set(name.initials) or {""}
+            keys.update("i" + x[0] + c for c in firsts)
             for t in {x, *x.split("-")} - {""}:
                 t = t.replace("-", "")
                 keys.add("t" + phonetic(t))
                 if len(t) >= 5:
-                    keys.add("h" + t[0] + phonetic(t[:4]))
-                    keys.add("e" + phonetic(t[-4:]) + t[-1])
-            firsts = {n[0] for t in toks if t != x for n in (*_GIVEN.get(t, ()), t)} | set(name.initials)
-            keys.update("i" + x[0] + c for c in firsts)
+                    keys.update("h" + t[0] + phonetic(t[:4]) + c for c in firsts)
+                    keys.update("e" + phonetic(t[-4:]) + t[-1] + c for c in firsts)
     return sorted(keys)
 
 

@@ -28,8 +28,8 @@ def _pair(tolerance: int):
         try:
             con.register("l", left)
             con.register("r", right)
-            con.execute(_SQL.format(tol=int(tolerance)))
-            fetch = getattr(con, "to_arrow_table", None) or con.fetch_arrow_table  # by DuckDB's version
+            rel = con.sql(_SQL.format(tol=int(tolerance)))
+            fetch = getattr(rel, "to_arrow_table", None) or rel.arrow  # by DuckDB's version
             return fetch().cast(_OUT)
         finally:
             con.close()

@@ -12,7 +12,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -68,8 +68,9 @@ def pack(
     count from 0 and ``inicio`` is the place of the first unit. All other items
     stay whole. Items are hashed into groups of about ``group_items`` so that no
     task holds more, and a hot kind of item spreads over all groups. Boxes filled
-    to ``full`` or more are closed after their round; the rest are merged
-    ``fan_in`` groups at a time.
+    to ``full`` or more are closed after their round; of the rest the emptiest of
+    each group, no more than there are groups, are merged ``fan_in`` groups at a
+    time.
 
     Items without id, or with a null, zero or negative size, take no room and get
     no row; repeated ids are items of their own; an empty table gives no rows; a
@@ -107,8 +108,17 @@ def pack(
         pdf["to_fill"] = fill[bins]
         return pdf
 
-    # the open boxes, and where those of the first round ended up: far fewer rows than items
-    open_ = placed.filter(F.col("fill") < F.col("cap") * full).select("contenedor", "cap", "g", "bin", "fill").distinct()
+    # Best fit leaves a group at most one box that is not half full, so no more boxes than
+    # groups can ever take up another one. The emptiest of each group are enough for that;
+    # the rest are closed, whatever the sizes of the items.
+    emptiest = Window.partitionBy("contenedor", "g").orderBy("fill", "bin")
+    most = groups + 1
+
+    def still_open(boxes: DataFrame) -> DataFrame:
+        boxes = boxes.filter(F.col("fill") < F.col("cap") * full).distinct()
+        return boxes.withColumn("r", F.row_number().over(emptiest)).filter(F.col("r") <= most).drop("r")
+
+    open_ = still_open(placed.select("contenedor", "cap", "g", "bin", "fill"))
     moved = open_.select("contenedor", "bin", F.col("bin").alias("to"), F.col("fill").alias("to_fill"))
     while groups > 1:
         groups = math.ceil(groups / fan_in)
@@ -116,7 +126,7 @@ def pack(
         step = cut_lineage(step)
         jump = step.select("contenedor", F.col("bin").alias("to"), F.col("to").alias("to2"), F.col("to_fill").alias("fill2"))
         moved = moved.join(jump, ["contenedor", "to"], "left").select("contenedor", "bin", F.coalesce("to2", "to").alias("to"), F.coalesce("fill2", "to_fill").alias("to_fill"))
-        open_ = step.filter(F.col("to_fill") < F.col("cap") * full).select("contenedor", "cap", "g", F.col("to").alias("bin"), F.col("to_fill").alias("fill")).distinct()
+        open_ = still_open(step.select("contenedor", "cap", "g", F.col("to").alias("bin"), F.col("to_fill").alias("fill")))
     out = placed.join(moved, ["contenedor", "bin"], "left")
     return out.select(
         "contenedor", F.col("cap").alias("capacidad"), F.coalesce("to", "bin").alias("caja"), F.col("id").alias(item_id), "pieza", "inicio", "tamano", F.coalesce("to_fill", "fill").alias("llenado")
