@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import clean, text
+from ..functions import clean, quality, register, text
 from ..operators import asof as joins
 from ..operators import cluster, pit, series, upsert
 from ..session import table
+from ..sources import market, sinks
 
 DAY = "yyyy-MM-dd"
 
@@ -398,10 +399,81 @@ def f18_folded(s, d):
     return table(s, d, "documents").select("doc_id", F.length(text.folded("text")).alias("largo"))
 
 
+def s5_snapshot(s, d):
+    """Place of the stored prices in their ranges."""
+    e = table(s, d, "empresas").select("id", *[F.col(c).cast("double").alias(c) for c in ("precio_actual", "precio_min_52w", "precio_max_52w")])
+    return e.select("id", market.position("precio_actual", "precio_min_52w", "precio_max_52w").alias("posicion"))
+
+
+def s10_latest_by_form(s, d):
+    """Latest dates of several kinds of form per empresa, in one pass."""
+    f = F.upper(F.trim("formulario"))
+    kinds = {"trimestral": "^10-Q", "actual": "^8-K", "participacion": "^(SC|SCHEDULE) 13[DG]", "propiedad": "^4"}
+    docs = table(s, d, "documents").filter("empresa_id is not null")
+    return docs.groupBy("empresa_id").agg(*[_day(F.max(F.when(f.rlike(p), F.col("fecha_doc")))).alias(k) for k, p in kinds.items()])
+
+
+def j4_with_verdict(s, d):
+    """Entities whose theses carry a verdict: JSON key, distinct join."""
+    t = table(s, d, "documents").filter("source = 'tesis_detective'").withColumn("v", F.get_json_object(text.first_json("text"), "$.veredicto_preliminar")).filter("v is not null")
+    e = table(s, d, "empresas").select(F.col("id").alias("empresa_id"), "ticker")
+    return e.join(t.select("empresa_id", "v"), "empresa_id").select("empresa_id", "ticker", F.col("v").alias("veredicto")).distinct()
+
+
+def x17_unaudited(s, d):
+    """The newest thesis of each entity that no later report audits."""
+    docs = table(s, d, "documents").filter("empresa_id is not null and fecha_registro is not null").select("doc_id", "source", "empresa_id", "fecha_registro")
+    t = upsert.latest(docs.filter("source = 'tesis_detective'"), ["empresa_id"], [F.col("fecha_registro"), F.col("doc_id")])
+    a = docs.filter("source = 'informe_auditor'").select(F.col("empresa_id").alias("ae"), F.col("fecha_registro").alias("af"))
+    return t.join(a, (F.col("ae") == F.col("empresa_id")) & (F.col("af") >= F.col("fecha_registro")), "left_anti").select("empresa_id", "doc_id")
+
+
+def k5_fill(s, d):
+    """Empty sectors filled from the most frequent sector of their code."""
+    e = table(s, d, "empresas").select("id", "sic", "sector")
+    n = e.filter("sector is not null and sic is not null").groupBy("sic", "sector").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("sic").agg(F.min_by("sector", F.struct(-F.col("n"), F.col("sector"))).alias("sector"))
+    return sinks.fill_empty(e, best, "sic", "sector").select("id", "sic", "sector")
+
+
+def a11_split(s, d):
+    """Entities with a cluster, large ones (at most 40) apart from the count of the rest."""
+    c = cluster.first_clusters(_buys(s, d), "empresa_id", "nombre_insider", "fecha_transaccion", 60, 3).filter("found")
+    j = c.join(table(s, d, "empresas").select(F.col("id").alias("empresa_id"), "ticker", "market_cap_usd"), "empresa_id")
+    return j.filter("market_cap_usd > 2000000000").orderBy(F.col("market_cap_usd").desc(), "empresa_id").limit(40).select("empresa_id", "ticker", "market_cap_usd", _day("detected").alias("detected"))
+
+
+def fn_sql(s, d):
+    """The registered functions, from SQL."""
+    register.register_functions(s)
+    table(s, d, "empresas").createOrReplaceTempView("lumbre_fn_empresas")
+    return s.sql(
+        "SELECT id, lumbre_cik(cik || '.0') AS cik, lumbre_precio(CAST(precio_actual AS STRING)) AS precio, lumbre_texto(sector) AS sector, "
+        "lumbre_posicion(CAST(precio_actual AS DOUBLE), CAST(precio_min_52w AS DOUBLE), CAST(precio_max_52w AS DOUBLE)) AS posicion, length(lumbre_normalizado(ticker)) AS largo FROM lumbre_fn_empresas"
+    )
+
+
+def dq_rules(s, d):
+    """Rows that break the declared rules of three tables."""
+    out = None
+    for t, rules in quality.RULES.items():
+        v = quality.violations(table(s, d, t), rules).withColumn("tabla", F.lit(t))
+        out = v if out is None else out.unionByName(v)
+    return out.select("tabla", "regla", "incumplen", "nulos")
+
+
+def dq_nulls(s, d):
+    """Null shares per column of the quarterly table."""
+    m = table(s, d, "metricas_trimestrales")
+    cols = ["fecha_inicio", "fecha_fin", "revenue", "gross_profit", "net_income", "operating_cash_flow", "accounts_receivable", "shares_outstanding", "metricas_sector", "fecha_filing"]
+    one = m.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), F.col(c).alias("nulos")) for c in cols])).alias("x")).select("x.*")
+
+
 QUERIES = {f.__name__: f for f in (
     w1_clusters, w1_orders, w10_before, a1_window_totals, w2_titles, w3_growth, w4_margins, w4_cash, w7_labels, w9_sample, j6_quarter_of_filing, j7_shares, j8_price_before, j9_price_after, j11_purchases_before, a2_worklist,
     l7_group_limit, j16_no_recent_quarter, j17_with_shares, j20_history, j18_documents, k2_upsert, k10_insert, k3_quarters, a3_funnel, a5_columns, a6_upper_median, a7_median, a8_recall, a9_smallest, a10_buckets, l1_top,
-    l5_latest_purchases, n8_context, u2_drilldown, u4_parameters, f24_returns, f26_excess, w8_peaks, f_clean, f13_quarters, f15_items, f17_percent, f19_anonymous, n1_sector_json, n4_sections, n5_items, n7_citations, f18_folded,
+    l5_latest_purchases, n8_context, u2_drilldown, u4_parameters, f24_returns, f26_excess, w8_peaks, f_clean, f13_quarters, f15_items, f17_percent, f19_anonymous, n1_sector_json, s5_snapshot, s10_latest_by_form, j4_with_verdict, x17_unaudited, k5_fill, a11_split, fn_sql, dq_rules, dq_nulls, n4_sections, n5_items, n7_citations, f18_folded,
 )}
 
 # SQL ------------------------------------------------------------------------
@@ -577,3 +649,35 @@ SELECT doc_id, CAST(length(trim(regexp_replace(lower(regexp_replace(strip_accent
 SQL["n7_citations"] = """
 SELECT doc_id, h AS citas_verificadas, CAST(3 AS INTEGER) AS citas_totales, CAST(1 AS INTEGER) AS demasiado_cortas, round(h / 3.0::DOUBLE * 100, 1) AS porcentaje_verificado, h / 3.0::DOUBLE * 100 < 50 AS alucinacion_detectada
 FROM (SELECT doc_id, CAST(CASE WHEN contains(lower(text), lower(substring(text, 20, 60))) THEN 1 ELSE 0 END AS INTEGER) AS h FROM documents WHERE length(text) > 120) x"""
+SQL["s5_snapshot"] = "SELECT id, CASE WHEN precio_max_52w > precio_min_52w THEN round((CAST(precio_actual AS DOUBLE) - precio_min_52w) / (CAST(precio_max_52w AS DOUBLE) - precio_min_52w), 4) END AS posicion FROM empresas"
+SQL["s10_latest_by_form"] = """
+SELECT empresa_id, strftime(max(CASE WHEN regexp_matches(f, '^10-Q') THEN fecha_doc END), '%Y-%m-%d') AS trimestral, strftime(max(CASE WHEN regexp_matches(f, '^8-K') THEN fecha_doc END), '%Y-%m-%d') AS actual,
+  strftime(max(CASE WHEN regexp_matches(f, '^(SC|SCHEDULE) 13[DG]') THEN fecha_doc END), '%Y-%m-%d') AS participacion, strftime(max(CASE WHEN regexp_matches(f, '^4') THEN fecha_doc END), '%Y-%m-%d') AS propiedad
+FROM (SELECT *, upper(trim(formulario)) AS f FROM documents WHERE empresa_id IS NOT NULL) t GROUP BY 1"""
+SQL["j4_with_verdict"] = """
+SELECT DISTINCT e.id AS empresa_id, e.ticker, json_extract_string(t.text, '$.veredicto_preliminar') AS veredicto
+FROM (SELECT * FROM documents WHERE source = 'tesis_detective' AND json_valid(text)) t JOIN empresas e ON e.id = t.empresa_id WHERE json_extract_string(t.text, '$.veredicto_preliminar') IS NOT NULL"""
+SQL["x17_unaudited"] = """
+WITH d AS (SELECT doc_id, source, empresa_id, fecha_registro FROM documents WHERE empresa_id IS NOT NULL AND fecha_registro IS NOT NULL),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY empresa_id ORDER BY fecha_registro DESC, doc_id DESC) AS rn FROM d WHERE source = 'tesis_detective') x WHERE rn = 1)
+SELECT empresa_id, doc_id FROM t WHERE NOT EXISTS (SELECT 1 FROM d a WHERE a.source = 'informe_auditor' AND a.empresa_id = t.empresa_id AND a.fecha_registro >= t.fecha_registro)"""
+SQL["k5_fill"] = """
+WITH n AS (SELECT sic, sector, count(*) AS n FROM empresas WHERE sector IS NOT NULL AND sic IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT sic, sector FROM (SELECT *, row_number() OVER (PARTITION BY sic ORDER BY n DESC, sector) AS rn FROM n) t WHERE rn = 1)
+SELECT e.id, e.sic, coalesce(nullif(e.sector, ''), b.sector) AS sector FROM empresas e LEFT JOIN b ON b.sic = e.sic"""
+SQL["a11_split"] = _CL + """
+SELECT c.e AS empresa_id, e.ticker, e.market_cap_usd, strftime(c.detected, '%Y-%m-%d') AS detected FROM clusters c JOIN empresas e ON e.id = c.e
+WHERE c.found AND e.market_cap_usd > 2000000000 ORDER BY e.market_cap_usd DESC, c.e LIMIT 40"""
+SQL["fn_sql"] = """
+SELECT id, cik, CASE WHEN precio_actual > 0 AND precio_actual <= 1000000 THEN CAST(precio_actual AS DOUBLE) END AS precio, nullif(trim(sector), '') AS sector,
+  CASE WHEN precio_max_52w > precio_min_52w THEN round((CAST(precio_actual AS DOUBLE) - precio_min_52w) / (CAST(precio_max_52w AS DOUBLE) - precio_min_52w), 4) END AS posicion, CAST(length(ticker) AS INTEGER) AS largo FROM empresas"""
+_DQ = {
+    "empresas": {"ticker_largo": "length(ticker) <= 10", "bolsa_largo": "length(bolsa) <= 20", "cik_formato": "regexp_matches(cik, '^[0-9]{10}$')"},
+    "metricas_trimestrales": {"trimestre_dominio": "trimestre BETWEEN 1 AND 4", "periodo_orden": "fecha_inicio < fecha_fin", "publicada_despues": "fecha_filing >= fecha_fin"},
+    "insider_transactions": {"cargo_largo": "length(cargo) <= 100", "ad_dominio": "adquirido_o_dispuesto IN ('A', 'D')", "importe_positivo": "importe_total >= 0"},
+}
+SQL["dq_rules"] = " UNION ALL ".join(f"SELECT '{t}' AS tabla, '{n}' AS regla, count(*) FILTER (WHERE NOT ({r})) AS incumplen, count(*) FILTER (WHERE ({r}) IS NULL) AS nulos FROM {t}" for t, rs in _DQ.items() for n, r in rs.items())
+SQL["dq_nulls"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS columna, count(*) FILTER (WHERE {c} IS NULL) AS nulos FROM metricas_trimestrales"
+    for c in ("fecha_inicio", "fecha_fin", "revenue", "gross_profit", "net_income", "operating_cash_flow", "accounts_receivable", "shares_outstanding", "metricas_sector", "fecha_filing")
+)

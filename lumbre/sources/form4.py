@@ -56,17 +56,18 @@ def read_zipped_tsv(spark: SparkSession, path: str, member: str, columns: tuple[
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, ddl)
 
 
-def clean_transactions(submissions: DataFrame, owners: DataFrame, transactions: DataFrame, as_of) -> DataFrame:
+def clean_transactions(submissions: DataFrame, owners: DataFrame, transactions: DataFrame, as_of, keep_invalid: bool = False) -> DataFrame:
     """One clean row per transaction with its filing and the filing's first owner.
 
     The first owner is the one that comes first in its file. A title falls back to
-    the relationship. Figures that cannot be right are null."""
+    the relationship. Figures that cannot be right are null; rows without a usable
+    company number or date are left out unless ``keep_invalid``."""
     first = owners.groupBy("accession_number").agg(F.min_by(F.struct("rptownercik", "rptownername", "rptowner_relationship", "rptowner_title"), F.struct("_file", "_row")).alias("o"))
     sub = submissions.drop("_file", "_row").dropDuplicates(["accession_number"])
     t = transactions.join(sub, "accession_number", "left").join(first, "accession_number", "left")
     filed = clean.flexible_date("filing_date")
     n, p = clean.shares("trans_shares"), clean.price("trans_pricepershare")
-    return t.select(
+    out = t.select(
         "accession_number",
         F.col("nonderiv_trans_sk").try_cast("int").alias("trans_sk"),
         clean.cik("issuercik").alias("cik"),
@@ -85,3 +86,4 @@ def clean_transactions(submissions: DataFrame, owners: DataFrame, transactions:
         "_file",
         "_row",
     )
+    return out if keep_invalid else out.filter("cik is not null and fecha_transaccion is not null")

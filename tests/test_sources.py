@@ -4,7 +4,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from lumbre.sources import cases, facts, form4
+from lumbre.sources import cases, facts, form4, market, sinks
 
 SUB = "ACCESSION_NUMBER\tFILING_DATE\tPERIOD_OF_REPORT\tISSUERCIK\tISSUERNAME\tISSUERTRADINGSYMBOL\tEXTRA\nA1\t31-MAR-2023\t\t320193\tAcme \"Inc\"\tacm\tz\nA2\t2023-04-01\t\t12345678901\t\tnone\tz\n"
 OWN = "ACCESSION_NUMBER\tRPTOWNERCIK\tRPTOWNERNAME\tRPTOWNER_RELATIONSHIP\tRPTOWNER_TITLE\nA1\t1\tFirst Person\tDirector\t\nA1\t2\tSecond Person\tOfficer\tCEO\nA2\t3\tThird\tOfficer\tCFO\n"
@@ -25,7 +25,9 @@ def test_plain_and_zipped_triplets(spark, tmp_path):
     for n, t in (("SUBMISSION.tsv", SUB), ("REPORTINGOWNER.tsv", OWN), ("NONDERIV_TRANS.tsv", TX)):
         (tmp_path / n).write_text(t)
     read = lambda n, c: form4.read_tsv(spark, str(tmp_path / n), c)
-    check(form4.clean_transactions(read("SUBMISSION.tsv", form4.SUBMISSION), read("REPORTINGOWNER.tsv", form4.OWNER), read("NONDERIV_TRANS.tsv", form4.TRANSACTION), dt.date(2024, 1, 1)).collect())
+    check(form4.clean_transactions(read("SUBMISSION.tsv", form4.SUBMISSION), read("REPORTINGOWNER.tsv", form4.OWNER), read("NONDERIV_TRANS.tsv", form4.TRANSACTION), dt.date(2024, 1, 1), keep_invalid=True).collect())
+    strict = form4.clean_transactions(read("SUBMISSION.tsv", form4.SUBMISSION), read("REPORTINGOWNER.tsv", form4.OWNER), read("NONDERIV_TRANS.tsv", form4.TRANSACTION), dt.date(2024, 1, 1)).collect()
+    assert [(r["accession_number"], r["trans_sk"]) for r in strict] == [("A1", 1)]
     (tmp_path / "zips").mkdir()
     with zipfile.ZipFile(tmp_path / "zips" / "q1.zip", "w") as z:
         z.writestr("2023q1/submission.TSV", SUB)
@@ -34,7 +36,7 @@ def test_plain_and_zipped_triplets(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "zips" / "empty.zip", "w") as z:
         z.writestr("readme", "x")
     read = lambda n, c: form4.read_zipped_tsv(spark, str(tmp_path / "zips" / "*.zip"), n, c)
-    check(form4.clean_transactions(read("submission.tsv", form4.SUBMISSION), read("reportingowner.tsv", form4.OWNER), read("nonderiv_trans.tsv", form4.TRANSACTION), dt.date(2024, 1, 1)).collect())
+    check(form4.clean_transactions(read("submission.tsv", form4.SUBMISSION), read("reportingowner.tsv", form4.OWNER), read("nonderiv_trans.tsv", form4.TRANSACTION), dt.date(2024, 1, 1), keep_invalid=True).collect())
 
 
 def fact(start, end, val, fy, fp, form="10-Q"):
@@ -92,3 +94,27 @@ def test_case_lists(spark, tmp_path):
     cases.write_csv(b, str(tmp_path / "out"), ["ticker"])
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2
     assert a.unionByName(b).filter(F.col("market_cap").isNull()).count() == 1
+
+
+def test_market_snapshots(spark, tmp_path):
+    rows = [{"symbol": "A", "currentPrice": 5.0, "fiftyTwoWeekLow": 4.0, "fiftyTwoWeekHigh": 8.0, "marketCap": 10, "exchange": "NMS", "dateShortInterest": 1700000000}, {"symbol": "B", "regularMarketPrice": 3.0, "fiftyTwoWeekLow": 3.0, "fiftyTwoWeekHigh": 3.0, "fullExchangeName": "NASDAQ"}, {"symbol": "C"}]
+    (tmp_path / "m.json").write_text("\n".join(json.dumps(r) for r in rows))
+    got = {r["ticker"]: r for r in market.snapshots(spark.read.schema(market.SNAPSHOT).json(str(tmp_path / "m.json"))).collect()}
+    assert set(got) == {"A", "B"} and float(got["A"]["posicion_52w"]) == 0.25 and got["B"]["posicion_52w"] is None
+    assert got["B"]["bolsa"] == "NASDAQ" and got["A"]["bolsa"] == "NMS" and got["A"]["fecha_short"] == dt.date(2023, 11, 14)
+
+
+def test_sinks_are_atomic_and_idempotent(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.replace_table(spark.range(5), path)
+    sinks.replace_table(spark.read.parquet(path).filter("id < 3"), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [0, 1, 2]
+    assert not list(tmp_path.glob("*staging*"))
+    known = spark.createDataFrame([("1", 7)], "cik string, id long")
+    new = spark.createDataFrame([("1", "A"), ("2", "B"), ("2", "B"), (None, "C")], "cik string, n string")
+    both = sinks.register_entities(known, new, "cik", "id")
+    assert {r["cik"] for r in both.collect()} == {"1", "2"} and both.filter("cik = '1'").first()["id"] == 7
+    again = sinks.register_entities(both, new, "cik", "id")
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in both.collect()}
+    assert [r["id"] for r in sinks.with_foreign_key(new, both, "cik", "id").filter("cik = '1'").collect()] == [7]
+    assert sinks.with_foreign_key(new, both, "cik", "id").count() == 3
