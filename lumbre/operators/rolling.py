@@ -111,27 +111,31 @@ def trailing_totals(
     values: list[str],
     windows: tuple[int, ...] = (7, 30),
     last_day: int | None = None,
+    running: tuple[str, ...] = (),
 ) -> DataFrame:
     """For each entity and calendar day the sums of ``values`` over the trailing windows.
 
     ``leaves`` has one row per entity and day (an integer, days since 1970) with
     integer ``values``; the result has (entity, day, <value>_<window>...) for
     every day from the first of an entity to ``last_day`` (its own last day
-    where None), days without activity included. A task holds whole entities,
+    where None), days without activity included. Columns in ``running`` are summed
+    from the entity's first day on instead, as presence changes are. A task holds
+    whole entities,
     of which each has at most one row per day of the calendar. Rows without
     entity or day are left out; no leaves give no rows; null values count as
     zero.
     """
     names = [f"{v}_{w}" for w in windows for v in values]
     clean = leaves.filter(F.col(entity).isNotNull() & F.col(day).isNotNull()).select(
-        F.col(entity).cast("long").alias("e"), F.col(day).cast("long").alias("d"), *[F.coalesce(F.col(v).cast("long"), F.lit(0)).alias(v) for v in values]
+        F.col(entity).cast("long").alias("e"), F.col(day).cast("long").alias("d"), *[F.coalesce(F.col(v).cast("long"), F.lit(0)).alias(v) for v in [*values, *running]]
     )
+    names += list(running)
     schema = pa.schema([("e", pa.int64()), ("d", pa.int32()), *[(n, pa.int64()) for n in names]])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _entity_batches(batches):
             e, d = t.column(0).to_numpy(), t.column(1).to_numpy()
-            val = np.stack([t.column(v).to_numpy() for v in values], axis=1)
+            val = np.stack([t.column(v).to_numpy() for v in [*values, *running]], axis=1)
             at = _runs(e)
             ends = np.r_[at[1:], len(e)]
             forest = Forest(np.repeat(np.arange(len(at)), ends - at) * SPAN + d + ORIGIN, val)
@@ -145,6 +149,9 @@ def trailing_totals(
                 for w in windows:
                     s = forest.range_sum(pos - (w - 1), pos + 1)
                     cols += [pa.array(np.ascontiguousarray(s[:, k])) for k in range(len(values))]
+                if running:
+                    s = forest.range_sum((ent + a) * SPAN, pos + 1)
+                    cols += [pa.array(np.ascontiguousarray(s[:, len(values) + k])) for k in range(len(running))]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
                 a = int(b)
 
@@ -239,10 +246,11 @@ def correct_nodes(nodes: DataFrame, corrections: DataFrame, entity: str, day: st
 def query_nodes(nodes: DataFrame, queries: DataFrame, entity: str, first: str, last: str, values: list[str]) -> DataFrame:
     """Queries (entity, first day, last day; both inclusive) with the sums of their
     ranges, from canonical nodes by one equi-join. Ranges may span any number of
-    shards. A range without activity has sums of zero; repeated queries each get
-    their row."""
-    q = queries.withColumn("__q", F.monotonically_increasing_id())
-    q = q.withColumn("__lo", F.col(first).cast("long")).withColumn("__hi", F.col(last).cast("long") + 1)
+    shards. A range without activity, or with a null, has sums of zero; repeated
+    queries each get their row."""
+    q = queries.withColumn("__lo", F.col(first).cast("long")).withColumn("__hi", F.col(last).cast("long") + 1)
+    keys = [entity, "__lo", "__hi"]
+    asked = q.select(*keys).dropna().distinct()
     lo, hi = "(shiftright(__lo + shiftleft(1L, l) - 1, l))", "(shiftright(__hi, l))"
     # at level l the range covers whole nodes [ceil(lo/2^l), floor(hi/2^l)); it uses those whose parent it doesn't cover
     take = (
@@ -250,7 +258,7 @@ def query_nodes(nodes: DataFrame, queries: DataFrame, entity: str, first: str, l
         f" CASE WHEN {lo} < {hi} AND ({hi} & 1) = 1 AND l < {LEVELS} AND NOT (({lo} & 1) = 1 AND {lo} = {hi} - 1) THEN {hi} - 1 END), x -> x is not null)"
     )
     whole = f"CASE WHEN l = {LEVELS} AND {lo} < {hi} THEN sequence({lo}, {hi} - 1) ELSE {take} END"
-    parts = q.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).select("__q", entity, F.col("l").alias("level"), F.explode(F.expr(whole)).alias("node"))
-    sums = parts.join(nodes.drop("shard"), [entity, "level", "node"]).groupBy("__q").agg(*[F.sum(v).alias(v) for v in values])
-    out = q.join(sums, "__q", "left")
+    parts = asked.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).select(*keys, F.col("l").alias("level"), F.explode(F.expr(whole)).alias("node"))
+    sums = parts.join(nodes.drop("shard"), [entity, "level", "node"]).groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+    out = q.join(sums, keys, "left")
     return out.select(*queries.columns, *[F.coalesce(F.col(v), F.lit(0)).alias(v) for v in values])

@@ -46,11 +46,18 @@ def p2_totales(spark: SparkSession, d: str) -> DataFrame:
     leaves = buys.groupBy("empresa_id", "dia").agg(
         F.count(F.lit(1)).alias("compras"), F.sum(F.coalesce("acciones", F.lit(0))).alias("acciones"), F.sum(F.coalesce(cents, F.lit(0))).alias("centimos")
     )
-    tail = leaves.groupBy("empresa_id").agg((F.max("dia") + 29).alias("dia")).select("empresa_id", "dia", *[F.lit(0).cast("long").alias(v) for v in ("compras", "acciones", "centimos")])
-    got = rolling.trailing_totals(leaves.unionByName(tail), "empresa_id", "dia", ["compras", "acciones", "centimos"], (7, 30))
+    moves = rolling.presence_deltas(buys, "empresa_id", "insider", "dia", (7, 30)).filter("d is not null")
+    moves = moves.select(F.col("e").alias("empresa_id"), F.col("d").alias("dia"), *[F.when(F.col("w") == w, F.col("delta")).otherwise(0).cast("long").alias(f"c{w}") for w in (7, 30)])
+    # a buyer of the last 30 days leaves on the 30th day after the last purchase; that day only carries the change
+    both = leaves.unionByName(moves, allowMissingColumns=True)
+    names = ["compras", "acciones", "centimos", "c7", "c30"]
+    both = both.groupBy("empresa_id", "dia").agg(*[F.sum(F.coalesce(F.col(v), F.lit(0))).alias(v) for v in names])
+    got = rolling.trailing_totals(both, "empresa_id", "dia", names[:3], (7, 30), running=("c7", "c30"))
+    ends = leaves.groupBy("empresa_id").agg((F.max("dia") + 29).alias("fin"))
+    got = got.join(ends, "empresa_id").filter("dia <= fin")
     out = [F.col("empresa_id").cast("int").alias("empresa_id"), text_day(F.date_from_unix_date("dia")).alias("fecha")]
     for w in (7, 30):
-        out += [F.col(f"compras_{w}"), F.col(f"acciones_{w}"), F.col(f"centimos_{w}"), F.round(F.col(f"compras_{w}") / w, 6).alias(f"compras_dia_{w}")]
+        out += [F.col(f"compras_{w}"), F.col(f"acciones_{w}"), F.col(f"centimos_{w}"), F.round(F.col(f"compras_{w}") / w, 6).alias(f"compras_dia_{w}"), F.col(f"c{w}").alias(f"compradores_{w}")]
     return got.select(*out)
 
 
@@ -134,13 +141,15 @@ FROM near GROUP BY empresa_id, dias, dia HAVING count(DISTINCT insider) >= 3""",
 WITH {_BUYS},
 leaf AS (SELECT empresa_id, f AS dia, count(*) AS compras, sum(coalesce(acciones, 0)) AS acciones, sum(coalesce(CAST(round(importe_total * 100, 0) AS BIGINT), 0)) AS centimos FROM buys GROUP BY 1, 2),
 cal AS (SELECT empresa_id, CAST(unnest(generate_series(min(dia), max(dia) + 29, INTERVAL 1 DAY)) AS DATE) AS dia FROM leaf GROUP BY 1),
+near AS (SELECT b.empresa_id, w.dias, CAST(b.f + CAST(k AS INTEGER) AS DATE) AS dia, count(DISTINCT b.insider) AS c
+  FROM buys b, (SELECT unnest([7, 30]) AS dias) w, (SELECT unnest(range(0, 30)) AS k) o WHERE k < w.dias GROUP BY 1, 2, 3),
 d AS (SELECT c.empresa_id, c.dia, coalesce(compras, 0) AS n, coalesce(acciones, 0) AS a, coalesce(centimos, 0) AS c FROM cal c LEFT JOIN leaf l ON l.empresa_id = c.empresa_id AND l.dia = c.dia),
 s AS (SELECT empresa_id, dia, sum(n) OVER v AS n7, sum(a) OVER v AS a7, sum(c) OVER v AS c7, sum(n) OVER m AS n30, sum(a) OVER m AS a30, sum(c) OVER m AS c30
       FROM d WINDOW v AS (PARTITION BY empresa_id ORDER BY dia ROWS 6 PRECEDING), m AS (PARTITION BY empresa_id ORDER BY dia ROWS 29 PRECEDING))
-SELECT empresa_id, strftime(dia, '%Y-%m-%d') AS fecha,
+SELECT s.empresa_id, strftime(s.dia, '%Y-%m-%d') AS fecha, coalesce(x.c, 0) AS compradores_7, coalesce(y.c, 0) AS compradores_30,
   CAST(n7 AS BIGINT) AS compras_7, CAST(a7 AS BIGINT) AS acciones_7, CAST(c7 AS BIGINT) AS centimos_7, round(CAST(n7 AS DOUBLE) / 7, 6) AS compras_dia_7,
   CAST(n30 AS BIGINT) AS compras_30, CAST(a30 AS BIGINT) AS acciones_30, CAST(c30 AS BIGINT) AS centimos_30, round(CAST(n30 AS DOUBLE) / 30, 6) AS compras_dia_30
-FROM s""",
+FROM s LEFT JOIN near x ON x.empresa_id = s.empresa_id AND x.dia = s.dia AND x.dias = 7 LEFT JOIN near y ON y.empresa_id = s.empresa_id AND y.dia = s.dia AND y.dias = 30""",
     "p2_correcciones": f"""
 WITH {_BUYS},
 leaf AS (SELECT empresa_id, f, sum(coalesce(acciones, 0)) AS a FROM buys GROUP BY 1, 2)

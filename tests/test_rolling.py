@@ -45,6 +45,12 @@ def test_trailing_totals_cover_silent_days(spark):
     assert (1, 60) in got and (2, 20) in got and (2, 21) not in got and len([k for k in got if k[0] == 1]) == 51
 
 
+def test_running_columns(spark):
+    df = spark.createDataFrame([(1, 10, 5, 1), (1, 13, 2, 1), (1, 14, 0, -2), (2, 12, 1, 4)], "e int, d int, v int, c int")
+    got = {(r["e"], r["d"]): (r["v_2"], r["c"]) for r in rolling.trailing_totals(df, "e", "d", ["v"], (2,), running=("c",)).collect()}
+    assert got == {(1, 10): (5, 1), (1, 11): (5, 1), (1, 12): (0, 1), (1, 13): (2, 2), (1, 14): (2, 0), (2, 12): (1, 4)}
+
+
 def test_totals_before_1970_and_negative_values(spark):
     df = spark.createDataFrame([(-3, -400, -5), (-3, -398, 2)], "e int, d int, v int")
     got = {r["d"]: r["v_7"] for r in rolling.trailing_totals(df, "e", "d", ["v"], (7,)).collect()}
@@ -68,8 +74,11 @@ def test_nodes_corrections_and_queries(spark):
     touched = rolling.tree_nodes(late, "e", "d", ["v"]).count()
     assert touched <= late.select("e", "d").distinct().count() * (rolling.LEVELS + 1)
     r = random.Random(5)
-    asked = [(r.randrange(7), a := r.randrange(-50, 1500), a + r.randrange(0, 1200)) for _ in range(60)]
+    asked = [(None, 1, 5), (1, None, 5), (1, 3, 3), (1, 3, 3)]
+    asked += [(r.randrange(7), a := r.randrange(-50, 1500), a + r.randrange(0, 1200)) for _ in range(60)]
     q = spark.createDataFrame(asked, "e int, a int, b int")
     plain = [(e, d, i % 7) for i, (e, _, d, _) in enumerate(data)]
     for x in rolling.query_nodes(nodes, q, "e", "a", "b", ["v"]).collect():
-        assert x["v"] == sum(v for e, d, v in plain if e == x["e"] and x["a"] <= d <= x["b"])
+        ok = x["e"] is not None and x["a"] is not None
+        assert x["v"] == (sum(v for e, d, v in plain if e == x["e"] and x["a"] <= d <= x["b"]) if ok else 0)
+    assert rolling.query_nodes(nodes, q, "e", "a", "b", ["v"]).count() == 64
