@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: What may follow a complete text: references, periods, rules, remarks, tags.
 _MARK = re.compile(r"(?:\s+|&nbsp;|\[[A-Z][A-Za-z&]{0,8}(?:\s?\d{4})?\]|\[Q[1-4] \d{4}\]|\*(?: ?\*)+|#{2,}|-{3,}|={3,}|_{3,}|\((?:unaudited|sin auditar)\)|</?[A-Za-z][^<>]{0,80}>)$")
 #: What a cut may leave: ellipses, halves of entities, escapes and tags, a broken character.
-_REST = re.compile(r"(?:\s+|\.\.+|…|\[…\]|\[\.\.\.\]|\(\.\.\.\)|\(…\)|&#?\w{0,6}|\\u?[0-9a-fA-F]{0,3}|</?[A-Za-z]{0,6}|�+)$")
+_REST = re.compile(r"(?:\s+|\.\.+|…|\[…\]|\[\.\.\.\]|\(\.\.\.\)|\(…\)|&#?[a-z0-9]{0,6}|\\u?[0-9a-fA-F]{0,3}|</?[A-Za-z]{0,6}|�+)$")
 _ELLIPSIS = re.compile(r"(?:\.\.+|…)[\])]?$")
 _END = re.compile(r"[.!?][\"'”’»)\]]*$")
 _ABBREVIATED = re.compile(r"\b(?:Inc|Corp|Co|Ltd|Mr|Mrs|Ms|Dr|No|St|Jr|Sr|vs|approx|Sra?|Núm)\.$")
@@ -71,12 +71,10 @@ def ending(text: str) -> tuple[str, str, str]:
         if not m.group():
             break
         bare = bare[: m.start()]
-    if bare != s and not _END.search(bare):
+    if bare != s:
         return "cortado", "resto", ""
-    if bare != s and bare:
-        return "cortado", "resto", ""
-    if text.count("<p>") > text.count("</p>") and not text.rstrip().endswith(">"):
-        return ("cortado", "marcado", "") if not _END.search(s) else ("dudoso", "marcado", "")
+    if text.count("<p>") > text.count("</p>"):  # a paragraph that never closes
+        return "cortado", "marcado", ""
     lines = s.split("\n")
     last = lines[-1].rstrip()
     if _END.search(last):
@@ -197,9 +195,8 @@ def judge_endings(docs: DataFrame, doc_id: str, text: str, source: str, share: f
     ``cortado`` holds where the ending itself shows the cut, or where it is of a
     doubtful class and the corpus seldom ends so: notes, items, signatures and
     table rows need ``least`` different texts and a ``share`` of their class with
-    the same skeleton; a full stop after an abbreviation or a short number, and an
-    unclosed paragraph, count as a cut only at a length with a significant hazard
-    (``limite``).
+    the same skeleton; a full stop after an abbreviation or a short number counts
+    as a cut only at a length with a significant hazard (``limite``).
 
     Null and empty texts are complete; repeated documents are judged alike and
     support an ending only once; an empty table gives no rows; other columns may
@@ -227,7 +224,6 @@ def judge_endings(docs: DataFrame, doc_id: str, text: str, source: str, share: f
         F.when(F.col("estado") == "completo", False)
         .when(F.col("estado") == "cortado", True)
         .when(F.col("clase").isin("abreviatura", "numero"), limit & rare)
-        .when(F.col("clase") == "marcado", limit)
         .otherwise(rare)
     )
     return j.select(F.col("id").alias(doc_id), F.col("s").alias(source), F.col("n").alias("n_chars"), "clase", "k", "votos", limit.alias("limite"), cut.alias("cortado"))

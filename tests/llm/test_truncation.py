@@ -13,7 +13,7 @@ GOOD = [
 ]
 BAD = [
     f"{SENT[0]}. {SENT[1][:30]}", f"{SENT[0]}. {SENT[1][:30]}...", f"{SENT[0]}. {SENT[1][:31]}…", f"{SENT[0]}. We did […]", f"{SENT[0]}. We did not&nb", f"{SENT[0]}. We did &nbsp", f"{SENT[0]}. Most <", f"<p>{SENT[0]}.</p>\n\n<p>Most of them </", f"{SENT[0]}. We \\u00", f"{SENT[0]}. We di�",
-    json.dumps({"tesis": f"{SENT[0]}. {SENT[1]}."})[:-20], f"{SENT[0]}. “{SENT[1]}, said Omar", f"{SENT[0]}. The price was $1,2", f"{SENT[0]}. In addition,\n\n",
+    json.dumps({"tesis": f"{SENT[0]}. {SENT[1]}."})[:-20], f"{SENT[0]}. “{SENT[1]}, said Omar", f"{SENT[0]}. The price was $1,2", f"{SENT[0]}. In addition,\n\n", f"<p>{SENT[0]}.</p>\n\n<p>{SENT[1]}.",
 ]
 
 
