@@ -39,10 +39,33 @@ def growth_halves(df: DataFrame, entity: str, position: str, value: str, k: int
     return s.select(entity, F.size("g").alias("tasas"), F.when(enough, old).alias("media_antigua"), F.when(enough, new).alias("media_reciente"))
 
 
-def upper_median(value: str | Column) -> Column:
-    """Aggregate: element n div 2 of the sorted values, from 0 (not their mean)."""
-    a = F.sort_array(F.collect_list(value))
-    return F.when(F.size(a) > 0, F.element_at(a, F.floor(F.size(a) / 2).cast("int") + 1))
+def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, bajo, alto): the elements (n - 1) div 2 and n div 2, from 0, of the
+    sorted values of each group; their mean is the median, ``alto`` the upper one.
+
+    Exact, and no task holds a group: values are counted, a histogram of relative
+    width 1/64 finds the bin of either element, and only the distinct values of
+    that bin are ranked. Nulls and NaN are left out, and so are groups without
+    values; null group keys are one group."""
+    x = F.col("__v").cast("double")
+    size = F.floor(F.log2(F.abs(x)) * 64).cast("long")
+    top = 1 << 20
+    bin_ = F.when(x > 0, top + size).when(x < 0, -top - size).otherwise(0)
+    v = df.select(*by, F.col(value).alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan(F.col("__v").cast("double")))
+    v = v.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("c")).withColumn("b", bin_)
+    h = v.groupBy(*by, "b").agg(F.sum("c").alias("hc"))
+    w = Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    h = h.withColumn("before", F.sum("hc").over(w) - F.col("hc")).withColumn("n", F.sum("hc").over(Window.partitionBy(*by)))
+    h = h.withColumn("lo", F.expr("(n - 1) div 2")).withColumn("hi", F.expr("n div 2"))
+    h = h.filter("(lo >= before and lo < before + hc) or (hi >= before and hi < before + hc)")
+    right = h.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("b").alias("__b"), "before", "n", "lo", "hi")
+    on = F.col("b") == F.col("__b")
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    r = Window.partitionBy(*by, "b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    j = v.join(right, on).withColumn("upto", F.col("before") + F.sum("c").over(r))
+    at = lambda k: F.max(F.when((F.col(k) < F.col("upto")) & (F.col(k) >= F.col("upto") - F.col("c")), F.col("__v")))
+    return j.groupBy(*by).agg(F.max("n").alias("n"), at("lo").alias("bajo"), at("hi").alias("alto"))
 
 
 def systematic_sample(df: DataFrame, order: list[Column], n: int) -> DataFrame:

@@ -224,12 +224,14 @@ def a5_columns(s, d):
 
 def a6_upper_median(s, d):
     p = table(s, d, "insider_transactions").filter("precio_por_accion is not null").withColumn("t", clean.tx_code("tipo_transaccion"))
-    return p.filter("t is not null").groupBy("t").agg(F.count(F.lit(1)).alias("n"), series.upper_median("precio_por_accion").cast("double").alias("mediana_alta"))
+    return series.medians(p.filter("t is not null"), ["t"], "precio_por_accion").select("t", "n", F.col("alto").cast("double").alias("mediana_alta"))
 
 
 def a7_median(s, d):
     v = table(s, d, "validadas_historicas").withColumn("anio", F.year("fecha_deteccion"))
-    return v.groupBy("anio").agg(F.count(F.lit(1)).alias("casos"), F.round(F.median("market_cap_historico"), 2).alias("mediana"))
+    m = series.medians(v, ["anio"], "market_cap_historico").select(F.col("anio").alias("a"), F.round((F.col("bajo") + F.col("alto")) / 2, 2).alias("mediana"))
+    n = v.groupBy("anio").agg(F.count(F.lit(1)).alias("casos"))
+    return n.join(m, F.col("a").eqNullSafe(F.col("anio")), "left").select("anio", "casos", "mediana")
 
 
 def a8_recall(s, d):

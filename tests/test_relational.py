@@ -116,9 +116,18 @@ def test_growth_halves(spark):
     assert 3 not in got
 
 
-def test_upper_median_and_sample(spark):
-    df = spark.range(4).select((F.col("id") + 1).alias("v"))
-    assert df.agg(series.upper_median("v").alias("m")).first()["m"] == 3
+def test_medians_against_sorting(spark):
+    r = random.Random(4)
+    data = [(r.choice(["a", "a", "a", "b", None]), r.choice([None, 0.0, float("nan"), r.uniform(-50, 50), r.uniform(-1e9, 1e9), 7.5, 1e-12])) for _ in range(700)] + [("c", 2.0), ("d", None)]
+    got = {x["g"]: (x["n"], x["bajo"], x["alto"]) for x in series.medians(spark.createDataFrame(data, "g string, v double"), ["g"], "v").collect()}
+    for g in ("a", "b", None, "c"):
+        v = sorted(x for k, x in data if k == g and x is not None and x == x)
+        assert got[g] == (len(v), v[(len(v) - 1) // 2], v[len(v) // 2])
+    assert "d" not in got
+    assert series.medians(spark.createDataFrame([], "g string, v double"), ["g"], "v").count() == 0
+
+
+def test_systematic_sample(spark):
     got = sorted(r["id"] for r in series.systematic_sample(spark.range(103), [F.col("id")], 10).collect())
     assert got == [i * 103 // 10 for i in range(10)]
     assert series.systematic_sample(spark.range(0), [F.col("id")], 10).count() == 0
