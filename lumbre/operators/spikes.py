@@ -272,7 +272,7 @@ def flag_implausible(
         F.col(entity).alias("__e"),
         (F.col(year) * 4 + F.col(quarter) - 1).cast("int").alias("q"),
         F.col(published).alias("__p"),
-        *[F.col(f).cast("double").alias(f) for f in fs],
+        *[F.col(f).cast("double").alias(f) for f in dict.fromkeys([*fs, *(b for _, b in bounded)])],
     )
     order = F.struct(F.col("__p").isNull(), F.col("__p"), F.col("__id"))
     first = (
@@ -286,34 +286,28 @@ def flag_implausible(
     model = model.withColumn("exceso", F.nanvl("exceso", F.lit(None))).withColumn("esperado", F.nanvl("esperado", F.lit(None)))
     model = model.withColumn("u0", F.nanvl("u0", F.lit(None))).withColumn("congelado", F.nanvl("congelado", F.lit(None)))
     model = model.persist()
-    long = rows.select("__id", "__e", "q", F.posexplode(F.array(*[F.col(f) for f in fs])).alias("k", "v"), *[F.col(b).alias(f"__b{i}") for i, (_, b) in enumerate(bounded)])
-    long = long.withColumn("campo", F.element_at(F.array(*[F.lit(f) for f in fs]), F.col("k") + 1)).filter(F.col("v").isNotNull())
     first_long = first.select("__e", "q", F.posexplode(F.array(*[F.col(f) for f in fs])).alias("k", "v")).filter(F.col("v").isNotNull() & (F.col("v") != 0))
     first_long = first_long.withColumn("campo", F.element_at(F.array(*[F.lit(f) for f in fs]), F.col("k") + 1)).select("__e", "q", "campo", "v")
     tail = model.join(first_long, ["__e", "q", "campo"]).withColumn("w", F.abs(F.log(F.abs("v")) - F.col("esperado")) / F.col("u0") - 1).filter("w > 0")
     sizes = model.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("__e", "campo")))
     cut = sizes.withColumn("corte", _cutoffs(tail, fs, risk, prior) * F.when(F.col("lado"), edge).otherwise(1.0)).drop("exceso", "n", "lado")
-    j = long.join(cut, ["__e", "q", "campo"], "left")
-    resid = F.abs(F.log(F.abs(F.col("v"))) - F.col("esperado"))
-    base = (
-        F.when(F.col("campo").isin(*positive) & (F.col("v") < 0), "imposible")
-        .when(F.col("campo").isin(*strictly_positive) & (F.col("v") <= 0), "imposible")
-        .when(F.col("v") == F.col("congelado"), "congelado")
-        .when((F.col("v") < 0) & F.col("positivo"), "signo")
-        .when((F.col("v") != 0) & (resid > F.col("corte")) & (resid >= min_change), "pico")
-    )
-    judged = j.select("__id", "campo", "v", base.alias("motivo"), *[f"__b{i}" for i in range(len(bounded))])
-    if not bounded:
-        return judged.filter("motivo is not null").select(F.col("__id").alias(row_id), "campo", "motivo")
-    # bounds count only where the bounding reading is itself sound; rows are re-assembled by id
-    per_row = judged.groupBy("__id").agg(F.collect_list(F.struct("campo", "v", "motivo", *[f"__b{i}" for i in range(len(bounded))])).alias("c"))
-
-    def final(x: Column) -> Column:
-        m = x["motivo"]
-        for i, (f, b) in enumerate(bounded):
-            wrong = F.exists("c", lambda y: (y["campo"] == b) & y["motivo"].isNotNull())
-            above = (x["campo"] == f) & (x["v"] > x[f"__b{i}"]) & ~wrong
-            m = F.coalesce(F.when(above, F.lit("imposible")), m)
-        return F.struct(x["campo"].alias("campo"), m.alias("motivo"))
-
-    return per_row.select("__id", F.explode(F.transform("c", final)).alias("x")).filter("x.motivo is not null").select(F.col("__id").alias(row_id), F.col("x.campo").alias("campo"), F.col("x.motivo").alias("motivo"))
+    wide = cut.groupBy("__e", "q").agg(*[F.first(F.when(F.col("campo") == f, F.struct("esperado", "corte", "positivo", "congelado")), ignorenulls=True).alias(f"m_{f}") for f in fs])
+    j = rows.join(wide, ["__e", "q"], "left")
+
+    def own(f: str) -> Column:
+        v, m = F.col(f), F.col(f"m_{f}")
+        resid = F.abs(F.log(F.abs(v)) - m["esperado"])
+        rule = F.when(v.isNull(), None)
+        if f in positive:
+            rule = rule.when(v < 0, "imposible")
+        if f in strictly_positive:
+            rule = rule.when(v <= 0, "imposible")
+        return rule.when(v == m["congelado"], "congelado").when((v < 0) & m["positivo"], "signo").when((v != 0) & (resid > m["corte"]) & (resid >= min_change), "pico")
+
+    reasons = {f: own(f) for f in fs}
+    for f, b in bounded:  # a bound counts only where the bounding reading is itself sound
+        above = (F.col(f) > F.col(b)) & reasons[b].isNull()
+        reasons[f] = F.when(above, "imposible").otherwise(reasons[f])
+    out = F.array(*[F.struct(F.lit(f).alias("campo"), reasons[f].alias("motivo")) for f in fs])
+    flagged = j.select("__id", F.explode(F.filter(out, lambda x: x["motivo"].isNotNull())).alias("x"))
+    return flagged.select(F.col("__id").alias(row_id), F.col("x.campo").alias("campo"), F.col("x.motivo").alias("motivo"))
