@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.sql.streaming.checkpointLocation", str(tmp_path_factory.mktemp("streams")))
         .getOrCreate()
     )
