@@ -59,8 +59,7 @@ def landing(prob: np.ndarray, size: np.ndarray) -> np.ndarray:
         pick = (np.arange(1 << len(k))[:, None] >> np.arange(len(k))) & 1
         off = np.abs(pick @ size[k].astype(float) - prob[k] @ size[k])
         n_off = np.abs(pick.sum(axis=1) - prob[k].sum())
-        ok = n_off < 1  # the number of items first, then their size
-        out[k] = pick[np.flatnonzero(ok)[np.lexsort((n_off[ok], off[ok]))[0]]]
+        out[k] = pick[np.lexsort((n_off, off))[0]]  # the size first, then the number of items
     return out
 
 
@@ -89,7 +88,7 @@ def mix(
     share of once more. That share is drawn by the cube method: the flight phase
     runs in groups of about ``group_items`` of a source, its few open units go to
     the next, wider round, and only the last of a source, ``HOLD`` and two at
-    most, are rounded to the selection nearest in number and size.
+    most, are rounded to the selection nearest in size, then in number.
 
     Items without id or source, or with a null, zero or negative size are never
     drawn; repeated ids are items of their own; sources outside a mix are left
