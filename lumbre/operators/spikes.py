@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Robust scale of the normal distribution: sigma = 1.4826 * MAD.
@@ -128,8 +128,9 @@ def _short(y: np.ndarray) -> tuple[np.ndarray, float]:
     return r, max(float(np.median(np.abs(r))), 0.1)
 
 
-MODEL = ("campo", "q", "esperado", "u0", "exceso", "positivo", "congelado", "lado")
-MODEL_SCHEMA = "campo string, q int, esperado double, u0 double, exceso double, positivo boolean, congelado double, lado boolean"
+#: What the model says of one reading: expected log level, threshold, median and own
+#: exceedance over it in thresholds, readings of the series, rules, one-sidedness.
+MODEL = {"esperado": "double", "u0": "double", "exceso": "double", "w": "double", "n": "int", "positivo": "boolean", "congelado": "double", "lado": "boolean"}
 
 
 def _model(ent: np.ndarray, q: np.ndarray, v: np.ndarray, min_run: int) -> dict[str, np.ndarray]:
@@ -148,7 +149,8 @@ def _model(ent: np.ndarray, q: np.ndarray, v: np.ndarray, min_run: int) -> dict[
     frozen = np.where((length >= min_run) & ~first & (v != 0), v, np.nan)
     # residuals of the non-zero ones, one row per series
     nz = np.flatnonzero(v != 0)
-    esperado, u0, exceso, lado = np.full(len(v), np.nan), np.full(len(start), np.nan), np.full(len(start), np.nan), np.ones(len(v), bool)
+    esperado, w, lado = np.full(len(v), np.nan), np.full(len(v), np.nan), np.ones(len(v), bool)
+    u0, exceso = np.full(len(start), np.nan), np.full(len(start), np.nan)
     if len(nz):
         row = series[nz]
         head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
@@ -164,20 +166,24 @@ def _model(ent: np.ndarray, q: np.ndarray, v: np.ndarray, min_run: int) -> dict[
         esperado[nz], lado[nz] = (y - r)[line, col], one[line, col]
         u0[row[head]] = scale
         e = np.abs(r) / scale[:, None] - 1
+        w[nz] = e[line, col]
         exceso[row[head]] = _median(np.where(e > 0, e, np.nan))
-    return {"q": q, "esperado": esperado, "u0": u0[series], "exceso": exceso[series], "positivo": always[series], "congelado": frozen, "lado": lado}
+    return {"esperado": esperado, "u0": u0[series], "exceso": exceso[series], "w": w, "n": size[series], "positivo": always[series], "congelado": frozen, "lado": lado}
 
 
 def _modeller(fields: list[str], min_run: int, batch: int = 2_000):
     def model(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for f in fields:
-                s = pdf[["__e", "q", f]].dropna()
-                if len(s):
-                    got = _model(s["__e"].to_numpy(), s["q"].to_numpy(int), s[f].to_numpy(float), min_run)
-                    out.append(pd.DataFrame({"__e": s["__e"].to_numpy(), "campo": f, **got}))
-            return pd.concat(out)[["__e", *MODEL]] if out else pd.DataFrame(columns=["__e", *MODEL])
+            out = {"__e": pdf["__e"].to_numpy(), "q": pdf["q"].to_numpy(int)}
+            for i, f in enumerate(fields):
+                has = pdf[f].notna().to_numpy()
+                got = _model(out["__e"][has], out["q"][has], pdf[f].to_numpy(float)[has], min_run) if has.any() else {}
+                for k, kind in MODEL.items():
+                    col = np.full(len(pdf), np.nan) if kind == "double" else np.zeros(len(pdf), int if kind == "int" else bool)
+                    if got:
+                        col[has] = got[k]
+                    out[f"{k}_{i}"] = col
+            return pd.DataFrame(out)
 
         held: list[pd.DataFrame] = []
         for pdf in frames:  # sorted by entity; an entity may go on in the next frame
@@ -203,29 +209,23 @@ def _shape(ratio: float, low: float = 1e-3, high: float = 1.0) -> float:
     return (low + high) / 2
 
 
-def _cutoffs(model: DataFrame, fields: list[str], risk: float, prior: float) -> Column:
-    """Per-series cutoff on |residual|: GPD with the field's shape and a scale
-    between the series' own and the field's. Only three numbers per field come
-    to the driver."""
-    rows = (
-        model.filter(F.col("esperado").isNotNull() & F.col("exceso").isNotNull())
-        .groupBy("campo")
-        .agg(F.percentile_approx("exceso", [0.5], 1000).alias("m"), F.percentile_approx("w", [0.5, 0.85], 1000).alias("q"))
-        .collect()
-    )
-    got = {r["campo"]: r["q"] for r in rows if r["q"]}
-    expr = F.lit(None).cast("double")
-    for f in fields:
-        q50, q85 = got.get(f) or (0.4, 1.4)
+def _cutoffs(model: DataFrame, fields: list[str], risk: float, prior: float, edge: float) -> list[Column]:
+    """Cutoff on |residual| for each field: GPD with the field's shape and a scale
+    between the series' own and the field's. Only two numbers per field come to
+    the driver."""
+    q = model.agg(*[F.percentile_approx(F.when(F.col(f"w_{i}") > 0, F.col(f"w_{i}")), [0.5, 0.85], 1000).alias(f"q{i}") for i in range(len(fields))]).first()
+    out = []
+    for i in range(len(fields)):
+        q50, q85 = q[f"q{i}"] or (0.4, 1.4)
         q50 = max(q50, 1e-6)
         xi = _shape(max(q85, q50) / q50)
         beta = q50 * xi / (2**xi - 1)
-        own = F.coalesce(F.col("exceso"), F.lit(q50)) * (xi / (2**xi - 1))
-        k = F.greatest(F.lit(1.0), F.col("n") * 0.2)
+        own = F.coalesce(F.col(f"exceso_{i}"), F.lit(q50)) * (xi / (2**xi - 1))
+        k = F.greatest(F.lit(1.0), F.col(f"n_{i}") * 0.2)
         scale = (own * k + F.lit(beta * prior)) / (k + prior)
-        cut = F.col("u0") * (1 + scale * ((math.pow(risk / 0.2, -xi) - 1) / xi))
-        expr = F.when(F.col("campo") == f, cut).otherwise(expr)
-    return expr
+        cut = F.col(f"u0_{i}") * (1 + scale * ((math.pow(risk / 0.2, -xi) - 1) / xi))
+        out.append(cut * F.when(F.col(f"lado_{i}"), edge).otherwise(1.0))
+    return out
 
 
 def flag_implausible(
@@ -281,17 +281,13 @@ def flag_implausible(
         .agg(*[F.min(F.when(F.col(f).isNotNull(), F.struct(order.alias("o"), F.col(f).alias("v"))))["v"].alias(f) for f in fs])
     )
     kind = df.schema[entity].dataType.simpleString()
-    model = first.repartition("__e").sortWithinPartitions("__e", "q").mapInPandas(_modeller(fs, min_run), f"__e {kind}, {MODEL_SCHEMA}")
-    # the model is used twice (pooled tail, then rows); it is one small row per entity, quarter and field
-    model = model.withColumn("exceso", F.nanvl("exceso", F.lit(None))).withColumn("esperado", F.nanvl("esperado", F.lit(None)))
-    model = model.withColumn("u0", F.nanvl("u0", F.lit(None))).withColumn("congelado", F.nanvl("congelado", F.lit(None)))
-    model = model.persist()
-    first_long = first.select("__e", "q", F.posexplode(F.array(*[F.col(f) for f in fs])).alias("k", "v")).filter(F.col("v").isNotNull() & (F.col("v") != 0))
-    first_long = first_long.withColumn("campo", F.element_at(F.array(*[F.lit(f) for f in fs]), F.col("k") + 1)).select("__e", "q", "campo", "v")
-    tail = model.join(first_long, ["__e", "q", "campo"]).withColumn("w", F.abs(F.log(F.abs("v")) - F.col("esperado")) / F.col("u0") - 1).filter("w > 0")
-    sizes = model.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("__e", "campo")))
-    cut = sizes.withColumn("corte", _cutoffs(tail, fs, risk, prior) * F.when(F.col("lado"), edge).otherwise(1.0)).drop("exceso", "n", "lado")
-    wide = cut.groupBy("__e", "q").agg(*[F.first(F.when(F.col("campo") == f, F.struct("esperado", "corte", "positivo", "congelado")), ignorenulls=True).alias(f"m_{f}") for f in fs])
+    cols = [(f"{k}_{i}", t) for i in range(len(fs)) for k, t in MODEL.items()]
+    ddl = f"__e {kind}, q int, " + ", ".join(f"{c} {t}" for c, t in cols)
+    model = first.repartition("__e").sortWithinPartitions("__e", "q").mapInPandas(_modeller(fs, min_run), ddl)
+    model = model.select("__e", "q", *[F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in cols])
+    model = model.persist()  # used for the pooled tail and then for the rows; one row per entity and quarter
+    cuts = _cutoffs(model, fs, risk, prior, edge)
+    wide = model.select("__e", "q", *[F.struct(F.col(f"esperado_{i}").alias("esperado"), cuts[i].alias("corte"), F.col(f"positivo_{i}").alias("positivo"), F.col(f"congelado_{i}").alias("congelado")).alias(f"m_{f}") for i, f in enumerate(fs)])
     j = rows.join(wide, ["__e", "q"], "left")
 
     def own(f: str) -> Column:
