@@ -48,13 +48,12 @@ def p2_totales(spark: SparkSession, d: str) -> DataFrame:
     )
     moves = rolling.presence_deltas(buys, "empresa_id", "insider", "dia", (7, 30)).filter("d is not null")
     moves = moves.select(F.col("e").alias("empresa_id"), F.col("d").alias("dia"), *[F.when(F.col("w") == w, F.col("delta")).otherwise(0).cast("long").alias(f"c{w}") for w in (7, 30)])
-    # a buyer of the last 30 days leaves on the 30th day after the last purchase; that day only carries the change
-    both = leaves.unionByName(moves, allowMissingColumns=True)
+    ends = leaves.groupBy("empresa_id").agg((F.max("dia") + 29).alias("fin"))
+    moves = moves.join(ends, "empresa_id").filter("dia <= fin").drop("fin")  # the last buyers leave after the last day
+    both = leaves.unionByName(moves, allowMissingColumns=True).unionByName(ends.select("empresa_id", F.col("fin").alias("dia")), allowMissingColumns=True)
     names = ["compras", "acciones", "centimos", "c7", "c30"]
     both = both.groupBy("empresa_id", "dia").agg(*[F.sum(F.coalesce(F.col(v), F.lit(0))).alias(v) for v in names])
     got = rolling.trailing_totals(both, "empresa_id", "dia", names[:3], (7, 30), running=("c7", "c30"))
-    ends = leaves.groupBy("empresa_id").agg((F.max("dia") + 29).alias("fin"))
-    got = got.join(ends, "empresa_id").filter("dia <= fin")
     out = [F.col("empresa_id").cast("int").alias("empresa_id"), text_day(F.date_from_unix_date("dia")).alias("fecha")]
     for w in (7, 30):
         out += [F.col(f"compras_{w}"), F.col(f"acciones_{w}"), F.col(f"centimos_{w}"), F.round(F.col(f"compras_{w}") / w, 6).alias(f"compras_dia_{w}"), F.col(f"c{w}").alias(f"compradores_{w}")]
