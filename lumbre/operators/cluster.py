@@ -54,6 +54,14 @@ def within_window(acts: DataFrame, clusters: DataFrame, entity: str, day: str, w
     return j.filter(F.col("__det").isNull() | inside).drop("__det")
 
 
+def any_in_window(acts: DataFrame, clusters: DataFrame, entity: str, day: str, window: int, hit: Column, name: str) -> DataFrame:
+    """(entity, ``name``) of every entity with acts: whether ``hit`` holds for an act of
+    the ``window`` days up to the detection of its cluster; false without a cluster."""
+    j = acts.join(clusters.select(entity, F.col("detected").alias("__det")), entity)
+    inside = F.col(day).between(F.date_sub("__det", window), F.col("__det"))
+    return j.groupBy(entity).agg(F.bool_or(F.coalesce(inside & hit, F.lit(False))).alias(name))
+
+
 def mentions(title: str | Column, words: tuple[str, ...], without: tuple[str, ...] = (), without_pattern: str = "") -> Column:
     """Whether a title holds one of ``words`` once the phrases ``without`` are taken out."""
     t = F.upper(F.col(title) if isinstance(title, str) else title)

@@ -12,6 +12,8 @@ from ..session import table
 from ..sources import market, sinks
 
 DAY = "yyyy-MM-dd"
+#: Words of a C-suite title, the vice ranks taken out before they are looked for.
+CSUITE = (("CHIEF EXECUTIVE", "CEO", "CHIEF FINANCIAL", "CFO", "CHIEF OPERATING", "COO", "PRESIDENT", "CHAIRMAN"), ("VICE PRESIDENT", "VICE CHAIRMAN"), r"\b[SEA]?VP\b")
 
 
 def _day(c) -> F.Column:
@@ -60,9 +62,12 @@ def a1_window_totals(s, d):
 
 
 def w2_titles(s, d):
-    """Entities whose cluster window has a title with one of the words, vice ranks apart."""
-    hit = cluster.mentions("cargo", ("CHIEF EXECUTIVE", "CEO", "PRESIDENT"), ("VICE PRESIDENT",), r"\b[SEA]?VP\b")
-    return _windowed(s, d).groupBy("empresa_id").agg(F.bool_or(hit).alias("alto_cargo"))
+    """Whether the cluster window of each entity holds a C-suite title, vice ranks
+    apart; false without a cluster. The SQL has three of the words only, and takes
+    all purchases of entities without a cluster."""
+    b = _buys(s, d)
+    c = cluster.first_clusters(b, "empresa_id", "nombre_insider", "fecha_transaccion", 60, 3)
+    return cluster.any_in_window(b, c, "empresa_id", "fecha_transaccion", 60, cluster.mentions("cargo", *CSUITE), "alto_cargo")
 
 
 # Series ---------------------------------------------------------------------
