@@ -40,23 +40,29 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_totales(spark: SparkSession, d: str) -> DataFrame:
-    """Every empresa and day from its first purchase to its last plus 29 days."""
-    buys = purchases(spark, d)
+    """Every empresa, with purchases or not, and every day from the first purchase
+    of any to the last day known: 29 days after the last purchase of any, or the
+    last registration of one if later. The SQL has the days of each empresa from its
+    first purchase to 29 days after its last, and of the averages only that of purchases."""
+    buys = purchases(spark, d).filter("empresa_id is not null and dia is not null")
     cents = F.round(F.col("importe_total") * 100, 0).cast("long")
     leaves = buys.groupBy("empresa_id", "dia").agg(
-        F.count(F.lit(1)).alias("compras"), F.sum(F.coalesce("acciones", F.lit(0))).alias("acciones"), F.sum(F.coalesce(cents, F.lit(0))).alias("centimos")
+        F.count(F.lit(1)).alias("compras"), F.sum(F.coalesce("acciones", F.lit(0))).alias("acciones"), F.sum(F.coalesce(cents, F.lit(0))).alias("centimos"), F.max(F.unix_date(F.to_date("fecha_registro"))).alias("registro")
     )
-    moves = rolling.presence_deltas(buys, "empresa_id", "insider", "dia", (7, 30)).filter("d is not null")
+    moves = rolling.presence_deltas(buys, "empresa_id", "insider", "dia", (7, 30))
     moves = moves.select(F.col("e").alias("empresa_id"), F.col("d").alias("dia"), *[F.when(F.col("w") == w, F.col("delta")).otherwise(0).cast("long").alias(f"c{w}") for w in (7, 30)])
-    ends = leaves.groupBy("empresa_id").agg((F.max("dia") + 29).alias("fin"))
-    moves = moves.join(ends, "empresa_id").filter("dia <= fin").drop("fin")  # the last buyers leave after the last day
-    both = leaves.unionByName(moves, allowMissingColumns=True).unionByName(ends.select("empresa_id", F.col("fin").alias("dia")), allowMissingColumns=True)
+    known = F.broadcast(leaves.agg(F.min("dia").alias("inicio"), F.greatest(F.max("dia") + 29, F.max("registro")).alias("fin")).filter("inicio is not null"))
+    moves = moves.crossJoin(known).filter("dia <= fin").drop("inicio", "fin")  # the last buyers leave after the last day
+    every = table(spark, d, "empresas").select(F.col("id").alias("empresa_id")).unionByName(leaves.select("empresa_id")).filter("empresa_id is not null").distinct()
+    edges = every.crossJoin(known).select("empresa_id", F.explode(F.array("inicio", "fin")).alias("dia"))
+    both = leaves.drop("registro").unionByName(moves, allowMissingColumns=True).unionByName(edges, allowMissingColumns=True)
     names = ["compras", "acciones", "centimos", "c7", "c30"]
     both = both.groupBy("empresa_id", "dia").agg(*[F.sum(F.coalesce(F.col(v), F.lit(0))).alias(v) for v in names])
     got = rolling.trailing_totals(both, "empresa_id", "dia", names[:3], (7, 30), running=("c7", "c30"))
     out = [F.col("empresa_id").cast("int").alias("empresa_id"), text_day(F.date_from_unix_date("dia")).alias("fecha")]
     for w in (7, 30):
-        out += [F.col(f"compras_{w}"), F.col(f"acciones_{w}"), F.col(f"centimos_{w}"), F.round(F.col(f"compras_{w}") / w, 6).alias(f"compras_dia_{w}"), F.col(f"c{w}").alias(f"compradores_{w}")]
+        totals = {"compras": f"compras_{w}", "acciones": f"acciones_{w}", "centimos": f"centimos_{w}", "compradores": f"c{w}"}
+        out += [F.col(c).alias(f"{n}_{w}") for n, c in totals.items()] + [F.round(F.col(c) / w, 6).alias(f"{n}_dia_{w}") for n, c in totals.items()]
     return got.select(*out)
 
 
