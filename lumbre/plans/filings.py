@@ -396,8 +396,10 @@ def n5_items(s, d):
 
 
 def n7_citations(s, d):
-    """Two quotes per document, one of which its text holds."""
-    docs = table(s, d, "documents").filter(F.length("text") > 120)
+    """Three quotes for every document: a piece of its text, too short to count in
+    short texts, one never written and a short one. The SQL has the texts of more
+    than 120 characters only."""
+    docs = table(s, d, "documents")
     quotes = F.array(F.concat(F.upper(F.substring("text", 20, 60)), F.lit(" [MD&A]")), F.lit("this sentence was never written by anyone"), F.lit("short"))
     return text.verify_citations(docs.withColumn("q", quotes), "doc_id", "text", "q")
 
