@@ -445,11 +445,23 @@ def k5_fill(s, d):
     return sinks.fill_empty(e, best, "sic", "sector").select("id", "sic", "sector")
 
 
-def a11_split(s, d):
-    """Entities with a cluster, large ones (at most 40) apart from the count of the rest."""
+def _clustered(s, d):
+    """Entities with a cluster; ``grande`` if above the limit, a null capitalisation not."""
     c = cluster.first_clusters(_buys(s, d), "empresa_id", "nombre_insider", "fecha_transaccion", 60, 3).filter("found")
     j = c.join(table(s, d, "empresas").select(F.col("id").alias("empresa_id"), "ticker", "market_cap_usd"), "empresa_id")
-    return j.filter("market_cap_usd > 2000000000").orderBy(F.col("market_cap_usd").desc(), "empresa_id").limit(40).select("empresa_id", "ticker", "market_cap_usd", _day("detected").alias("detected"))
+    return j.withColumn("grande", F.coalesce(F.col("market_cap_usd") > 2000000000, F.lit(False)))
+
+
+def a11_split(s, d):
+    """The report of large entities with a cluster, at most 40; all of them and the rest are in a11_groups."""
+    return _clustered(s, d).filter("grande").orderBy(F.col("market_cap_usd").desc(), "empresa_id").limit(40).select("empresa_id", "ticker", "market_cap_usd", _day("detected").alias("detected"))
+
+
+def a11_groups(s, d):
+    """Every entity with a cluster and its group, with the counts of both groups."""
+    j = _clustered(s, d)
+    n = j.agg(F.count_if("grande").alias("grandes"), F.count_if(~F.col("grande")).alias("resto"))
+    return j.crossJoin(F.broadcast(n)).select("empresa_id", "ticker", "market_cap_usd", _day("detected").alias("detected"), F.when(F.col("grande"), "grande").otherwise("resto").alias("grupo"), "grandes", "resto")
 
 
 def fn_sql(s, d):
@@ -482,7 +494,7 @@ def dq_nulls(s, d):
 QUERIES = {f.__name__: f for f in (
     w1_clusters, w1_orders, w10_before, a1_window_totals, w2_titles, w3_growth, w4_margins, w4_cash, w7_labels, w9_sample, j6_quarter_of_filing, j7_shares, j8_price_before, j9_price_after, j11_purchases_before, a2_worklist,
     l7_group_limit, j16_no_recent_quarter, j17_with_shares, j20_history, j18_documents, k2_upsert, k10_insert, k3_quarters, a3_funnel, a5_columns, a6_upper_median, a7_median, a8_recall, a9_smallest, a10_buckets, l1_top,
-    l5_latest_purchases, n8_context, u2_drilldown, u4_parameters, f24_returns, f26_excess, w8_peaks, f_clean, f13_quarters, f15_items, f17_percent, f19_anonymous, n1_sector_json, s5_snapshot, s10_latest_by_form, j4_with_verdict, x17_unaudited, k5_fill, a11_split, fn_sql, dq_rules, dq_nulls, n4_sections, n5_items, n7_citations, f18_folded,
+    l5_latest_purchases, n8_context, u2_drilldown, u4_parameters, f24_returns, f26_excess, w8_peaks, f_clean, f13_quarters, f15_items, f17_percent, f19_anonymous, n1_sector_json, s5_snapshot, s10_latest_by_form, j4_with_verdict, x17_unaudited, k5_fill, a11_split, a11_groups, fn_sql, dq_rules, dq_nulls, n4_sections, n5_items, n7_citations, f18_folded,
 )}
 
 # SQL ------------------------------------------------------------------------
@@ -677,6 +689,10 @@ SELECT e.id, e.sic, coalesce(nullif(e.sector, ''), b.sector) AS sector FROM empr
 SQL["a11_split"] = _CL + """
 SELECT c.e AS empresa_id, e.ticker, e.market_cap_usd, strftime(c.detected, '%Y-%m-%d') AS detected FROM clusters c JOIN empresas e ON e.id = c.e
 WHERE c.found AND e.market_cap_usd > 2000000000 ORDER BY e.market_cap_usd DESC, c.e LIMIT 40"""
+SQL["a11_groups"] = _CL + """
+SELECT c.e AS empresa_id, e.ticker, e.market_cap_usd, strftime(c.detected, '%Y-%m-%d') AS detected, CASE WHEN e.market_cap_usd > 2000000000 THEN 'grande' ELSE 'resto' END AS grupo,
+  count(CASE WHEN e.market_cap_usd > 2000000000 THEN 1 END) OVER () AS grandes, count(CASE WHEN e.market_cap_usd > 2000000000 THEN NULL ELSE 1 END) OVER () AS resto
+FROM clusters c JOIN empresas e ON e.id = c.e WHERE c.found"""
 SQL["fn_sql"] = """
 SELECT id, cik, CASE WHEN precio_actual > 0 AND precio_actual <= 1000000 THEN CAST(precio_actual AS DOUBLE) END AS precio, nullif(trim(sector), '') AS sector,
   CASE WHEN precio_max_52w > precio_min_52w THEN round((CAST(precio_actual AS DOUBLE) - precio_min_52w) / (CAST(precio_max_52w AS DOUBLE) - precio_min_52w), 4) END AS posicion, CAST(length(ticker) AS INTEGER) AS largo FROM empresas"""
