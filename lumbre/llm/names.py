@@ -359,6 +359,29 @@ def office(raw: str) -> str:
     return " ".join(sorted(out)) or " ".join(sorted(set(words)))
 
 
+def _unlisted(o: str) -> list[str]:
+    """The words of an office that no table of titles holds and that are long enough for a slip."""
+    return [w for w in o.split() if w not in TITLE_WORDS and len(w) >= 4 and w.isalpha()]
+
+
+def office_block(o: str) -> str:
+    """The listed and short words of an office as they are and the letters of the others'
+    codes, which swapped letters leave as they are; empty without others."""
+    rest = _unlisted(o)
+    return " ".join([*(w for w in o.split() if w not in rest), "|", *sorted("".join(sorted(set(phonetic(w)))) for w in rest)]) if rest else ""
+
+
+def same_office(a: str, b: str) -> bool:
+    """Whether two offices of a block have, word by word, the same unlisted words but for slips."""
+    left, right = _unlisted(a), _unlisted(b)
+    for x in left:
+        near = max(right, key=lambda y: (jaro_winkler(x, y), y), default="")
+        if jaro_winkler(x, near) < 0.87 or abs(len(x) - len(near)) > 2:
+            return False
+        right.remove(near)
+    return not right
+
+
 # Operators ------------------------------------------------------------------
 
 
@@ -425,20 +448,27 @@ def title_variants(df: DataFrame, title: str) -> DataFrame:
 
     A title is blocked by the phonetic codes of its full words in order of the
     alphabet; words are read with Jaro-Winkler against the words of titles, and
-    spellings of a block with equal offices are linked. Null and blank titles
-    take no part."""
+    spellings of a block with equal offices are linked. Distinct offices that hold
+    words outside the list are compared word by word with those of the same listed
+    words and like codes of the others. Null and blank titles take no part."""
     s = df.filter(F.trim(title) != "").select(F.col(title).alias("t")).distinct()
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             o = [office(t) for t in pdf["t"]]
-            yield pd.DataFrame({"t": pdf["t"].to_numpy(), "o": o, "k": [" ".join(phonetic(w) for w in x.split()) for x in o]})
+            yield pd.DataFrame({"t": pdf["t"].to_numpy(), "o": o, "k": [" ".join(phonetic(w) for w in x.split()) for x in o], "u": [office_block(x) for x in o]})
+
+    def same(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf.loc[[same_office(a, b) for a, b in zip(pdf["o"], pdf["p"], strict=True)], ["t", "root"]]
 
-    read_ = s.mapInPandas(read, "t string, o string, k string").filter("o <> ''")
-    low = read_.groupBy("k", "o").agg(F.min("t").alias("root"))
-    edges = read_.join(low, ["k", "o"]).select(F.xxhash64("t").alias("a"), F.xxhash64("root").alias("b"), "t")
+    read_ = s.mapInPandas(read, "t string, o string, k string, u string").filter("o <> ''")
+    low = read_.groupBy("k", "o", "u").agg(F.min("t").alias("root"))
+    edges = read_.join(low.drop("u"), ["k", "o"]).select(F.xxhash64("t").alias("a"), F.xxhash64("root").alias("b"), "t")
     edges = edges.persist()
-    groups = connected_components(edges)
+    open_ = low.filter("u <> ''")
+    near = open_.select("u", "o", F.col("root").alias("t")).join(open_.select("u", F.col("o").alias("p"), "root"), "u").filter("o < p").mapInPandas(same, "t string, root string")
+    groups = connected_components(edges.select("a", "b").unionByName(near.select(F.xxhash64("t").alias("a"), F.xxhash64("root").alias("b"))))
     return edges.join(groups, F.col("a") == F.col("id")).select(F.col("t").alias(title), F.col("component").alias("grupo"))
 
 
