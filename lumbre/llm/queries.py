@@ -87,9 +87,12 @@ def p8_fuentes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_riesgos(spark: SparkSession, d: str) -> DataFrame:
-    """Lengths of the sources with their documents and those still at risk."""
-    docs = table(spark, d, "documents").select("source", F.length("text").alias("largo"))
-    return truncation.length_hazards(docs, "source", "largo").select("source", F.col("largo").cast("long").alias("largo"), "docs", "at_risk")
+    """Lengths of the sources: texts without a closed sentence at the end (the events),
+    texts at risk, expected events, the logarithm of p and what passed the test."""
+    docs = table(spark, d, "documents").filter("text is not null")
+    docs = docs.select("source", F.length("text").alias("largo"), (~F.col("text").rlike(r"[.!?][\"'”’»)\]]*\s*$")).alias("abierto"))
+    h = truncation.length_hazards(docs, "source", "largo", "abierto")
+    return h.select("source", F.col("largo").cast("long").alias("largo"), "docs", F.col("events").alias("abiertos"), "at_risk", F.round("expected", 6).alias("esperados"), F.round(F.log10(F.greatest("p", F.lit(1e-300))), 3).alias("log_p"), F.col("significant").alias("significativo"))
 
 
 QUERIES = {
@@ -121,7 +124,12 @@ near AS (
 SQL = {
     "p3_found": _NEAR + "SELECT caso_id, id AS metrica_id FROM near WHERE rn = 1",
     "p3_casos": _NEAR + "SELECT c.caso_id, c.empresa_id, n.id AS metrica_id, CAST(n.dias AS INTEGER) AS dias FROM cases c LEFT JOIN near n ON n.caso_id = c.caso_id AND n.rn = 1",
-    "p8_riesgos": """
-WITH n AS (SELECT source, CAST(length(text) AS BIGINT) AS largo, count(*) AS docs FROM documents WHERE text IS NOT NULL GROUP BY 1, 2)
-SELECT source, largo, docs, CAST(sum(docs) OVER (PARTITION BY source ORDER BY largo DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS at_risk FROM n""",
+    "p8_riesgos": r"""
+WITH n AS (SELECT source, CAST(length(text) AS BIGINT) AS largo, count(*) AS docs, count(*) FILTER (WHERE NOT regexp_matches(text, '[.!?]["''”’»)\]]*\s*$')) AS ev FROM documents WHERE text IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, sum(docs) OVER (PARTITION BY source ORDER BY largo DESC ROWS UNBOUNDED PRECEDING) AS at_risk FROM n),
+e AS (SELECT *, (sum(ev) OVER w - ev + 0.5) / 120.0 * at_risk / avg(at_risk) OVER w AS m FROM r WINDOW w AS (PARTITION BY source ORDER BY largo RANGE BETWEEN 60 PRECEDING AND 60 FOLLOWING)),
+p AS (SELECT *, CASE WHEN ev = 0 THEN 1.0 ELSE least(1.0, list_sum([exp(-m + (ev + i) * ln(m) - lgamma(ev + i + 1)) for i in range(0, 400)])) END AS p FROM (SELECT * REPLACE (CAST(m AS DOUBLE) AS m) FROM e) x),
+k AS (SELECT *, row_number() OVER (ORDER BY p) AS rk, count(*) OVER () AS total FROM p),
+b AS (SELECT max(p) AS cut FROM k WHERE p <= 0.001 * rk / total AND p <= 0.001)
+SELECT source, largo, docs, ev AS abiertos, CAST(at_risk AS BIGINT) AS at_risk, round(m, 6) AS esperados, round(log10(greatest(p, 1e-300)), 3) AS log_p, coalesce(p <= cut, FALSE) AND ev >= 3 AS significativo FROM p, b""",
 }

@@ -1,7 +1,6 @@
 import json
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from lumbre.llm import truncation as tr
@@ -17,14 +16,54 @@ BAD = [
 ]
 
 
-@pytest.mark.parametrize("text", GOOD)
-def test_complete_endings(text):
-    assert tr.ending(text)[0] == "completo", tr.ending(text)
+def _states(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").withColumn("source", F.lit("a"))
+    return {texts[r["id"]]: r["estado"] for r in tr.endings(df, "i", "text", "source").collect()}
 
 
-@pytest.mark.parametrize("text", BAD)
-def test_cut_endings(text):
-    assert tr.ending(text)[0] == "cortado", tr.ending(text)
+def test_complete_endings(spark):
+    got = _states(spark, GOOD)
+    assert {t for t, s in got.items() if s != "completo"} == set()
+
+
+def test_open_and_broken_endings(spark):
+    got = _states(spark, BAD)
+    assert {t for t, s in got.items() if s == "completo"} == set()
+
+
+def test_limits_decide_what_an_ending_alone_cannot(spark):
+    """Prose that stops without a full stop on words that close sentences elsewhere: a
+    cut at a length where a source stops too often, elsewhere a stop left out."""
+    r = random.Random(5)
+    closing = "of the older platform"
+    body = lambda n: " ".join(f"In {r.randrange(1900, 2000)} the costs rose, and so did those {closing}." for _ in range(n))
+    rows = []
+    for i in range(300):
+        rows.append(body(r.randrange(6, 40)))
+    for i in range(40):  # a field of 900 characters
+        rows.append((body(20) + " " + "We sold it to our partner in the north of the country" * 3)[:900])
+    at = body(30)
+    at = at[: 900 - len(closing) - 8] + " all but " + closing
+    at = ("Y" * 900 + at)[-900:]
+    off = body(11) + " We kept all but " + closing
+    rows += [at, off]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(rows)], "i long, text string, source string")
+    with_, without = ({x["i"]: x["cortado"] for x in tr.judge_endings(df, "i", "text", "source", use_limits=u).collect()} for u in (True, False))
+    assert len(at) == 900 and len(off) != 900
+    assert with_[len(rows) - 2] and not with_[len(rows) - 1]
+    assert not without[len(rows) - 2]
+
+
+def test_other_marks_and_language(spark):
+    """German letters, Turkish notes, other labels and references than elsewhere."""
+    full = [f"Der Umsatz stieg um {i} Prozent. Die Kosten blieben unverändert. {{Anl. {i}}}" for i in range(60)]
+    full += [f"Der Vertrag vom {i}. Mai gilt weiter. Beide Seiten haben zugestimmt.\n\nGezeichnet: Ayşe {chr(65 + i % 20)}e{'lmnr'[i // 10]}ler" for i in range(40)]
+    full += ["Bedelsiz hisse"] * 20 + [f"Beide Werke liefen im Jahr {i} ohne Unterbrechung.\n~~~~~" for i in range(20)]
+    cut = ["Der Umsatz stieg um 7 Prozent. Die Kosten blie", "Beide Werke liefen im Jahr 5 ohne Unterbrechung. Im Süden des Lan", "Bedelsiz his", "Der Vertrag gilt weiter.\n\nGezei"]
+    rows = full + cut
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(rows)], "i long, text string, source string")
+    got = {x["i"] for x in tr.judge_endings(df, "i", "text", "source").filter("cortado").collect()}
+    assert got == set(range(len(full), len(rows)))
 
 
 def test_corpus_decides_notes_items_signatures_and_tables(spark):
