@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .packing import safe_mean
 
 _EPS = 1e-9
 #: Units of a group that the flight leaves open, so that the landing has a choice.
 HOLD = 12
+#: Parts into which every source is cut where it meets the plan, so a hot one fills no single task.
+SALT = 64
 
 
 def flight(prob: np.ndarray, size: np.ndarray, seed: int, hold: int = 0) -> np.ndarray:
@@ -86,7 +89,8 @@ def mix(
     The total of a mix is the largest at which no source needs more than its
     repeats; each source then needs every item a whole number of times and a
     share of once more. That share is drawn by the cube method: the flight phase
-    runs in groups of about ``group_items`` of a source, its few open units go to
+    runs in groups of at most ``group_items`` of a source, hashed by place in the
+    input, its few open units go to
     the next, wider round, and only the last of a source, ``HOLD`` and two at
     most, are rounded to the selection nearest in size, then in number.
 
@@ -97,7 +101,7 @@ def mix(
     """
     ikind, skind = items.schema[item_id].dataType.simpleString(), items.schema[source].dataType.simpleString()
     base = items.filter(F.col(item_id).isNotNull() & F.col(source).isNotNull() & (F.col(size) > 0))
-    base = cut_lineage(base.select(F.col(item_id).alias("id"), F.col(source).alias("s"), F.col(size).cast("long").alias("z")))
+    base = cut_lineage(base.select(F.col(item_id).alias("id"), F.col(source).alias("s"), F.col(size).cast("long").alias("z"), F.monotonically_increasing_id().alias("u")))
     have = base.groupBy("s").agg(F.sum("z").alias("total"), F.count(F.lit(1)).alias("docs"))
     goal = targets.filter((F.col(weight) > 0) & (F.col(repeats) > 0)).select(F.col(mix_name).alias("m"), F.col("source").alias("s"), F.col(weight).cast("double").alias("w"), F.col(repeats).cast("int").alias("r"))
     plan = goal.join(have, "s", "left")
@@ -106,17 +110,17 @@ def mix(
     plan = plan.withColumn("tot", F.min(F.col("total") * F.col("r") / F.col("aw")).over(by))
     plan = plan.withColumn("mult", F.col("tot") * F.col("aw") / F.col("total"))
     plan = plan.withColumn("whole", F.floor(F.col("mult") + 1e-9).cast("int")).withColumn("frac", F.greatest(F.col("mult") - F.col("whole"), F.lit(0.0)))
-    plan = plan.withColumn("groups", F.greatest(F.ceil(F.col("docs") / group_items), F.lit(1)).cast("int"))
+    plan = plan.withColumn("groups", F.when(F.col("docs") > group_items, F.ceil(F.col("docs") / safe_mean(group_items))).otherwise(1).cast("int"))
     plan = cut_lineage(plan)  # one row per mix and source
-    cells_plan = plan.filter("total is not null").select("m", "s", "whole", "frac", "groups")
-    cells = base.join(F.broadcast(cells_plan) if plan.count() <= 10_000 else cells_plan, "s")
-    g = F.pmod(F.xxhash64("id", "z", "m"), F.col("groups")).cast("int")
-    cells = cells.select("m", "s", "id", "z", "whole", F.col("frac").alias("p"), g.alias("g"))
+    cells_plan = plan.filter("total is not null").select("m", "s", "whole", "frac", "groups", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    cells = base.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALT)).cast("int")).join(cells_plan, ["s", "salt"])
+    g = F.pmod(F.xxhash64("u", "m"), F.col("groups")).cast("int")
+    cells = cells.select("m", "s", "id", "z", "u", "whole", F.col("frac").alias("p"), g.alias("g"))
     sure = cells.filter("p <= 1e-9").select("m", "s", "id", "z", F.col("whole").alias("rep"))
-    schema = f"m string, s {skind}, id {ikind}, z long, whole int, p double, g int"
+    schema = f"m string, s {skind}, id {ikind}, z long, u long, whole int, p double, g int"
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "z"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("u", kind="stable").reset_index(drop=True)
         key = sum(ord(c) * (i + 1) for i, c in enumerate(f"{pdf['m'].iloc[0]}|{pdf['s'].iloc[0]}|{pdf['g'].iloc[0]}"))
         order = np.random.default_rng([seed, key]).permutation(len(pdf))
         p = np.empty(len(pdf))

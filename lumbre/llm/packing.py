@@ -52,6 +52,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array(fill, np.int64)
 
 
+def safe_mean(most: int) -> float:
+    """Mean of a hashed group whose size stays within ``most`` (five standard deviations)."""
+    return max((math.sqrt(6.25 + most) - 2.5) ** 2, 1.0)
+
+
 def pack(
     items: DataFrame,
     item_id: str,
@@ -60,17 +65,25 @@ def pack(
     group_items: int = 40_000,
     full: float = 0.995,
     fan_in: int = 8,
+    all_open: bool = False,
 ) -> DataFrame:
     """(contenedor, capacidad, caja, <item_id>, pieza, inicio, tamano, llenado): the
     box of every item, for each named capacity, with the fill of that box.
 
     Items larger than the capacity are cut into full pieces and a rest; pieces
     count from 0 and ``inicio`` is the place of the first unit. All other items
-    stay whole. Items are hashed into groups of about ``group_items`` so that no
-    task holds more, and a hot kind of item spreads over all groups. Boxes filled
-    to ``full`` or more are closed after their round; of the rest the emptiest of
-    each group, no more than there are groups, are merged ``fan_in`` groups at a
-    time.
+    stay whole. A full piece is a box of its own from the start. Everything else,
+    one row per item and capacity, is hashed by its place in the input, so repeats
+    and the kinds of a hot source spread over all groups; a group holds at most
+    ``group_items`` rows (their mean is five standard deviations below). Boxes
+    filled to ``full`` or more are closed after their round, the others are merged
+    ``fan_in`` groups at a time.
+
+    Best fit leaves a group at most one box that is half full or less, and two boxes
+    can only merge if one of them is. With G groups left no more than G boxes can
+    therefore be taken up by others, and whatever box takes one up may as well be one
+    of the G + 1 emptiest of its group: only those travel on, which loses no merge.
+    ``all_open`` lets every open box travel on instead.
 
     Items without id, or with a null, zero or negative size, take no room and get
     no row; repeated ids are items of their own; an empty table gives no rows; a
@@ -79,18 +92,20 @@ def pack(
     if any(c <= 0 for c in capacities.values()):
         raise ValueError("capacities must be positive")
     kind = items.schema[item_id].dataType.simpleString()
-    base = items.filter(F.col(item_id).isNotNull() & (F.col(size) > 0)).select(F.col(item_id).alias("id"), F.col(size).cast("long").alias("size"))
-    base = cut_lineage(base)  # sizes are dear to compute and needed for the number of groups
+    base = items.filter(F.col(item_id).isNotNull() & (F.col(size) > 0)).select(F.col(item_id).alias("id"), F.col(size).cast("long").alias("size"), F.monotonically_increasing_id().alias("u"))
+    base = cut_lineage(base)  # sizes are dear to compute and needed for the number of groups; fixes u
     count = base.count()
-    groups = max(1, math.ceil(count / group_items))
+    groups = max(1, math.ceil(count / safe_mean(group_items))) if count > group_items else 1
     caps = F.array(*[F.struct(F.lit(n).alias("contenedor"), F.lit(int(c)).cast("long").alias("cap")) for n, c in sorted(capacities.items())])
-    pieces = base.select("id", "size", F.pmod(F.xxhash64("id", "size"), F.lit(groups)).cast("int").alias("g"), F.explode(caps).alias("c")).select("id", "size", "g", "c.contenedor", "c.cap")
-    n = F.ceil(F.col("size") / F.col("cap"))
-    pieces = pieces.select("id", "g", "contenedor", "cap", "size", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("pieza"))
-    pieces = pieces.withColumn("inicio", F.col("pieza") * F.col("cap")).withColumn("tamano", F.least(F.col("cap"), F.col("size") - F.col("inicio"))).drop("size")
+    each = base.select("id", "u", "size", F.explode(caps).alias("c")).select("id", "u", "size", "c.contenedor", "c.cap").withColumn("whole", F.floor(F.col("size") / F.col("cap")))
+    # full pieces: a box each, named apart from all others
+    fulls = each.filter("whole > 0").select("contenedor", "cap", "id", F.col("cap").alias("tamano"), "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("pieza"))
+    fulls = fulls.select("contenedor", "cap", F.concat_ws("-", F.lit("p"), "u", "pieza").alias("caja"), "id", "pieza", (F.col("pieza") * F.col("cap")).alias("inicio"), "tamano", F.col("tamano").alias("llenado"))
+    rest = each.withColumn("inicio", F.col("whole") * F.col("cap")).withColumn("tamano", F.col("size") - F.col("inicio")).filter("tamano > 0")
+    pieces = rest.select("id", F.pmod(F.xxhash64("u"), F.lit(groups)).cast("int").alias("g"), "contenedor", "cap", F.col("whole").alias("pieza"), "inicio", "tamano", "u")
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "pieza"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("u", kind="stable").drop(columns="u").reset_index(drop=True)
         cap = int(pdf["cap"].iloc[0])
         bins, fill = best_fit(pdf["tamano"].to_numpy(), cap)
         pdf["bin"] = (np.int64(pdf["g"].iloc[0]) << 32) | bins
@@ -108,14 +123,13 @@ def pack(
         pdf["to_fill"] = fill[bins]
         return pdf
 
-    # Best fit leaves a group at most one box that is not half full, so no more boxes than
-    # groups can ever take up another one. The emptiest of each group are enough for that;
-    # the rest are closed, whatever the sizes of the items.
     emptiest = Window.partitionBy("contenedor", "g").orderBy("fill", "bin")
-    most = groups + 1
 
     def still_open(boxes: DataFrame) -> DataFrame:
         boxes = boxes.filter(F.col("fill") < F.col("cap") * full).distinct()
+        if all_open:
+            return boxes
+        most = groups + 1
         return boxes.withColumn("r", F.row_number().over(emptiest)).filter(F.col("r") <= most).drop("r")
 
     open_ = still_open(placed.select("contenedor", "cap", "g", "bin", "fill"))
@@ -127,10 +141,11 @@ def pack(
         jump = step.select("contenedor", F.col("bin").alias("to"), F.col("to").alias("to2"), F.col("to_fill").alias("fill2"))
         moved = moved.join(jump, ["contenedor", "to"], "left").select("contenedor", "bin", F.coalesce("to2", "to").alias("to"), F.coalesce("fill2", "to_fill").alias("to_fill"))
         open_ = still_open(step.select("contenedor", "cap", "g", F.col("to").alias("bin"), F.col("to_fill").alias("fill")))
-    out = placed.join(moved, ["contenedor", "bin"], "left")
-    return out.select(
-        "contenedor", F.col("cap").alias("capacidad"), F.coalesce("to", "bin").alias("caja"), F.col("id").alias(item_id), "pieza", "inicio", "tamano", F.coalesce("to_fill", "fill").alias("llenado")
+    out = placed.join(moved, ["contenedor", "bin"], "left").select(
+        "contenedor", "cap", F.concat(F.lit("c-"), F.coalesce("to", "bin").cast("string")).alias("caja"), "id", "pieza", "inicio", "tamano", F.coalesce("to_fill", "fill").alias("llenado")
     )
+    out = out.unionByName(fulls)
+    return out.select("contenedor", F.col("cap").alias("capacidad"), "caja", F.col("id").alias(item_id), "pieza", "inicio", "tamano", "llenado")
 
 
 def fills(packed: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from ..operators.pit import with_entity
 from ..session import table
 from . import mixing, names, nearest, packing, tokens, truncation
 
+#: Kinds of containers laid out at once; their table has four.
+MOST_KINDS = 1000
+
 
 def _nearest(spark: SparkSession, d: str) -> DataFrame:
     cases = with_entity(table(spark, d, "validadas_historicas"), table(spark, d, "empresas"))
@@ -46,7 +49,10 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    caps = {r["contenedor"]: r["capacidad_tokens"] for r in table(spark, d, "contenedores").select("contenedor", "capacidad_tokens").collect()}  # a fixed table of four
+    rows = table(spark, d, "contenedores").select("contenedor", "capacidad_tokens").limit(MOST_KINDS + 1).collect()
+    if len(rows) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
+    caps = {r["contenedor"]: r["capacidad_tokens"] for r in rows}
     return packing.pack(_sizes(spark, d), "doc_id", "tokens", caps)
 
 

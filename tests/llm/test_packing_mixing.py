@@ -115,3 +115,26 @@ def test_tokens_of_whole_texts(spark):
     assert got == [len(enc.encode_ordinary(t)) if t else 0 for (t,) in rows]
     assert enc.decode(enc.encode_ordinary(rows[3][0])) == rows[3][0]
     assert spark.createDataFrame(rows, "t string").filter(F.col("t").isNull()).count() == 1
+
+
+def test_groups_stay_within_their_size_however_hot_a_key_is(spark):
+    """A third of the rows repeat one id and size, and one text needs 20,000 boxes."""
+    rows = [(-7, 100)] * 1000 + [(i, 30 + i % 90) for i in range(2000)] + [(-9, 256 * 20_000 + 11)]
+    df = spark.createDataFrame(rows, "id long, n int")
+    groups = 1 + int(len(rows) / packing.safe_mean(200))
+    # as pack() places them: by place in the input
+    placed = df.withColumn("u", F.monotonically_increasing_id()).groupBy(F.pmod(F.xxhash64("u"), F.lit(groups)).alias("g")).count()
+    assert placed.agg(F.max("count")).first()[0] <= 200
+    got = packing.pack(df, "id", "n", {"a": 256}, group_items=200)
+    sizes = got.groupBy("caja").agg(F.sum("tamano").alias("t"), F.max("llenado").alias("l"), F.count(F.lit(1)).alias("c"))
+    assert sizes.filter("t <> l or t > 256").count() == 0
+    used, least = sizes.count(), -(-sum(n for _, n in rows) // 256)
+    assert used <= least * 1.03
+    assert got.filter("id = -9").count() == 20_001 and got.filter("id = -7").count() == 1000
+
+
+def test_boxes_left_behind_would_not_have_merged(spark):
+    r = random.Random(8)
+    df = spark.createDataFrame([(i, r.choice([r.randrange(1, 90), r.randrange(100, 250)])) for i in range(1200)], "id long, n int")
+    n = [packing.pack(df, "id", "n", {"a": 256}, group_items=40, all_open=x).select("caja").distinct().count() for x in (False, True)]
+    assert n[0] == n[1]
