@@ -17,19 +17,17 @@ from pyspark.sql import functions as F
 #: Levels of a tree; a shard has 2**LEVELS days.
 LEVELS = 9
 SHARD = 1 << LEVELS
-#: Space of an entity on the common axis of a batch, in days; a multiple of SHARD.
-SPAN = SHARD * 256
-#: Day 0 of the axis, in days before 1970-01-01; leaves room for queries before it.
-ORIGIN = SPAN // 2
 #: Query days answered at once.
 CHUNK = 1 << 20
 
 
 class Forest:
-    """The segment trees of many entities, as sorted sparse nodes per level.
+    """The segment trees of many shards, as sorted sparse nodes per level.
 
-    ``pos`` are ascending leaf positions (entity number * SPAN + day + ORIGIN),
-    ``val`` one row of sums per leaf."""
+    ``pos`` are ascending leaf positions (number of the tree in its batch times the
+    space of a tree, a multiple of SHARD, plus the place in it), ``val`` one row of
+    sums per leaf. Trees are numbered in the batch, so no date can reach into the
+    tree of a neighbour."""
 
     def __init__(self, pos: np.ndarray, val: np.ndarray):
         self.keys, self.vals = [pos], [val]
@@ -68,12 +66,8 @@ class Forest:
         return out
 
 
-def _runs(keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
-
-
-def _entity_batches(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[pa.Table]:
-    """Tables of whole entities, in the order of the (sorted) partition."""
+def _tree_batches(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[pa.Table]:
+    """Tables of whole trees (columns 0 and 1), in the order of the sorted partition."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for b in batches:
@@ -84,8 +78,8 @@ def _entity_batches(batches: Iterator[pa.RecordBatch], least: int = 200_000) ->
         if rows < least:
             continue
         t = pa.Table.from_batches(held)
-        e = t.column(0).to_numpy()
-        cut = int(np.searchsorted(e, e[-1]))
+        e, s = t.column(0).to_numpy(), t.column(1).to_numpy()
+        cut = len(e) - int(np.argmax(((e != e[-1]) | (s != s[-1]))[::-1])) if (e[0], s[0]) != (e[-1], s[-1]) else 0
         if cut:
             yield t.slice(0, cut)
             held, rows = t.slice(cut).to_batches(), t.num_rows - cut
@@ -93,15 +87,14 @@ def _entity_batches(batches: Iterator[pa.RecordBatch], least: int = 200_000) ->
         yield pa.Table.from_batches(held)
 
 
-def _grid(days: np.ndarray, at: np.ndarray, ends: np.ndarray, last: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Entity numbers and days of the calendar of each entity: from its first day
-    to ``last`` or, where that is None, to its own last day."""
-    first = days[at]
-    stop = days[ends - 1] if last is None else np.maximum(last, days[ends - 1])
-    n = stop - first + 1
-    ent = np.repeat(np.arange(len(at)), n)
-    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return ent, np.repeat(first, n) + off
+def _trees(t: pa.Table) -> np.ndarray:
+    """Number of the tree of each row."""
+    e, s = t.column(0).to_numpy(), t.column(1).to_numpy()
+    return np.cumsum(np.r_[False, (e[1:] != e[:-1]) | (s[1:] != s[:-1])])
+
+
+def _shard(day: str) -> F.Column:
+    return F.shiftright(F.col(day).cast("long"), LEVELS)
 
 
 def trailing_totals(
@@ -119,45 +112,67 @@ def trailing_totals(
     integer ``values``; the result has (entity, day, <value>_<window>...) for
     every day from the first of an entity to ``last_day`` (its own last day
     where None), days without activity included. Columns in ``running`` are summed
-    from the entity's first day on instead, as presence changes are. A task holds
-    whole entities,
-    of which each has at most one row per day of the calendar. Rows without
-    entity or day are left out; no leaves give no rows; null values count as
-    zero.
+    from the entity's first day on instead, as presence changes are.
+
+    A task holds trees of one entity and time shard each: the leaves of the shard,
+    those of the days before it that its windows reach, and the running sums that
+    earlier shards pass on (one row per shard). Rows without entity or day are left
+    out; no leaves give no rows; null values count as zero; days may be any.
     """
-    names = [f"{v}_{w}" for w in windows for v in values]
+    names = [f"{v}_{w}" for w in windows for v in values] + list(running)
+    cols = [*values, *running]
     clean = leaves.filter(F.col(entity).isNotNull() & F.col(day).isNotNull()).select(
-        F.col(entity).cast("long").alias("e"), F.col(day).cast("long").alias("d"), *[F.coalesce(F.col(v).cast("long"), F.lit(0)).alias(v) for v in [*values, *running]]
+        F.col(entity).cast("long").alias("e"), F.col(day).cast("long").alias("d"), *[F.coalesce(F.col(v).cast("long"), F.lit(0)).alias(v) for v in cols]
     )
-    names += list(running)
+    reach = max(windows, default=1) - 1
+    space = SHARD * (1 + -(-reach // SHARD))
+    ends = clean.groupBy("e").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    if last_day is not None:
+        ends = ends.withColumn("hi", F.greatest("hi", F.lit(last_day)))
+    heads = ends.select("e", "lo", "hi", F.explode(F.sequence(_shard("lo"), _shard("hi"))).alias("shard"))
+    if running:
+        sums = clean.groupBy("e", _shard("d").alias("shard")).agg(*[F.sum(v).alias(v) for v in running])
+        earlier = Window.partitionBy("e").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        heads = heads.join(sums, ["e", "shard"], "left").select("e", "shard", "lo", "hi", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(v) for v in running])
+    start = F.shiftleft("shard", LEVELS)
+    heads = heads.select("e", "shard", F.greatest("lo", start).alias("d"), F.least("hi", start + (SHARD - 1)).alias("stop"), *[F.lit(0).cast("long").alias(v) for v in values], *running)
+    held = clean.select("e", F.explode(F.sequence(_shard("d"), F.shiftright(F.col("d") + reach, LEVELS))).alias("shard"), "d", F.lit(None).cast("long").alias("stop"), *values, *[F.col(v).alias(v) for v in running])
+    held = held.select("e", "shard", "d", "stop", *values, *[F.when(F.col("shard") == _shard("d"), F.col(v)).otherwise(0).alias(v) for v in running])
     schema = pa.schema([("e", pa.int64()), ("d", pa.int32()), *[(n, pa.int64()) for n in names]])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _entity_batches(batches):
-            e, d = t.column(0).to_numpy(), t.column(1).to_numpy()
-            val = np.stack([t.column(v).to_numpy() for v in [*values, *running]], axis=1)
-            at = _runs(e)
-            ends = np.r_[at[1:], len(e)]
-            forest = Forest(np.repeat(np.arange(len(at)), ends - at) * SPAN + d + ORIGIN, val)
-            size = np.maximum(last_day if last_day is not None else 0, d[ends - 1]) - d[at] + 1
-            step = np.searchsorted(np.cumsum(size), np.arange(CHUNK, size.sum() + CHUNK, CHUNK), side="left") + 1
+        for t in _tree_batches(batches):
+            tree, base = _trees(t), t.column("shard").to_numpy() * SHARD
+            day_ = t.column("d").to_numpy()
+            stop = t.column("stop").to_numpy(zero_copy_only=False)
+            val = np.stack([t.column(v).to_numpy() for v in cols], axis=1)
+            head = ~np.isnan(stop) if stop.dtype.kind == "f" else np.ones(len(stop), bool)
+            at = np.flatnonzero(head)
+            leaf = np.flatnonzero(~head)
+            forest = Forest(tree[leaf] * space + day_[leaf] - base[leaf] + (space - SHARD), val[leaf])
+            n = (stop[at] - day_[at]).astype(np.int64) + 1
+            upto = np.cumsum(n)
             a = 0
-            for b in np.unique(step.clip(max=len(at))):
-                ent, day_ = _grid(d, at[a:b], ends[a:b], last_day)
-                pos = (ent + a) * SPAN + day_ + ORIGIN
-                cols = [pa.array(e[at[a:b]][ent]), pa.array(day_.astype(np.int32))]
+            while a < len(at):
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CHUNK, side="right")))
+                k = np.repeat(at[a:b], n[a:b])
+                off = np.arange(len(k)) - np.repeat(upto[a:b] - n[a:b] - (upto[a - 1] if a else 0), n[a:b])
+                d = day_[k] + off
+                origin = tree[k] * space + (space - SHARD)
+                pos = origin + d - base[k]
+                out = [pa.array(t.column("e").to_numpy()[k]), pa.array(d.astype(np.int32))]
                 for w in windows:
                     s = forest.range_sum(pos - (w - 1), pos + 1)
-                    cols += [pa.array(np.ascontiguousarray(s[:, k])) for k in range(len(values))]
+                    out += [pa.array(np.ascontiguousarray(s[:, i])) for i in range(len(values))]
                 if running:
-                    s = forest.range_sum((ent + a) * SPAN, pos + 1)
-                    cols += [pa.array(np.ascontiguousarray(s[:, len(values) + k])) for k in range(len(running))]
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
-                a = int(b)
+                    s = forest.range_sum(origin, pos + 1) + val[k]  # a head carries what earlier shards pass on
+                    out += [pa.array(np.ascontiguousarray(s[:, len(values) + i])) for i in range(len(running))]
+                yield pa.RecordBatch.from_arrays(out, schema=schema)
+                a = b
 
     ddl = "e long, d int, " + ", ".join(f"`{n}` long" for n in names)
-    out = clean.repartition("e").sortWithinPartitions("e", "d").mapInArrow(answer, ddl)
-    return out.select(F.col("e").alias(entity), F.col("d").alias(day), *names)
+    rows = heads.unionByName(held).repartition("e", "shard").sortWithinPartitions("e", "shard", F.col("stop").isNull(), "d")
+    return rows.mapInArrow(answer, ddl).select(F.col("e").alias(entity), F.col("d").alias(day), *names)
 
 
 def presence_deltas(acts: DataFrame, entity: str, member: str, day: str, windows: tuple[int, ...]) -> DataFrame:
@@ -168,7 +183,7 @@ def presence_deltas(acts: DataFrame, entity: str, member: str, day: str, windows
     act; presence starts with +1 and ends with -1, so the sum up to a day is the
     number of different members. ``member`` must not be null."""
     days = acts.filter(F.col(entity).isNotNull() & F.col(day).isNotNull()).select(F.col(entity).alias("e"), F.col(member).alias("m"), F.col(day).cast("long").alias("d"))
-    days = days.repartition("e", "m").distinct()
+    days = days.distinct()  # combined before the exchange, so one row per member and day is all a task meets
     after = F.lead("d").over(Window.partitionBy("e", "m").orderBy("d"))
     spans = days.withColumn("after", after).select("e", "d", "after", F.explode(F.array(*[F.lit(w) for w in windows])).alias("w"))
     stop = F.least(F.col("d") + F.col("w"), F.coalesce("after", F.col("d") + F.col("w")))
@@ -180,31 +195,37 @@ def days_with_members(acts: DataFrame, entity: str, member: str, day: str, windo
     """(entity, window, day) of all days whose trailing window has at least
     ``least`` different members, silent days included.
 
-    The leaves of the trees are the changes of presence; at each change a range
-    query from the start of the entity's shards gives the count, which holds
-    until the next change. Nulls and repeats as in ``presence_deltas``.
+    The leaves of the trees, one tree per entity, window and time shard, are the
+    changes of presence; a range query from the start of the shard and the sum that
+    earlier shards pass on (one row per shard) give the count at each change, which
+    holds until the next. Days may be any, however far from others. Nulls and repeats as in ``presence_deltas``.
     """
-    # entity and window share one tree: the window is the low digit of the key
+    # entity and window share one key: the window is its low digit
     deltas = presence_deltas(acts, entity, member, day, windows)
     index = F.element_at(F.create_map(*[F.lit(x) for k, w in enumerate(windows) for x in (w, k)]), F.col("w"))
     n = len(windows)
-    clean = deltas.select((F.col("e").cast("long") * n + index).alias("k"), "d", F.col("delta").cast("long").alias("delta"))
+    leaves = deltas.select((F.col("e").cast("long") * n + index).alias("k"), _shard("d").alias("shard"), "d", F.col("delta").cast("long").alias("delta"))
+    line = Window.partitionBy("k").orderBy("shard")
+    heads = leaves.groupBy("k", "shard").agg(F.sum("delta").alias("sum"), F.min("d").alias("first"))
+    heads = heads.select("k", "shard", F.lead("first").over(line).alias("next"), F.coalesce(F.sum("sum").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("delta"))
+    rows = heads.select("k", "shard", F.lit(None).cast("long").alias("d"), "delta", "next").unionByName(leaves.withColumn("next", F.lit(None).cast("long")))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _entity_batches(batches):
-            k, d = t.column(0).to_numpy(), t.column(1).to_numpy()
-            at = _runs(k)
-            ends = np.r_[at[1:], len(k)]
-            tree = np.repeat(np.arange(len(at)), ends - at)
-            pos = tree * SPAN + d + ORIGIN
-            count = Forest(pos, t.column(2).to_numpy()[:, None]).range_sum(tree * SPAN, pos + 1)[:, 0]
-            same = np.r_[tree[1:] == tree[:-1], False]
-            hit = np.flatnonzero((count >= least) & same)
-            if not len(hit):
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(k[hit]), pa.array(d[hit].astype(np.int32)), pa.array(d[hit + 1].astype(np.int32) - 1), pa.array(count[hit])], names=["k", "a", "b", "members"])
-
-    runs = clean.repartition("k").sortWithinPartitions("k", "d").mapInArrow(answer, "k long, a int, b int, members long")
+        for t in _tree_batches(batches):
+            tree, k = _trees(t), t.column("k").to_numpy()
+            head = t.column("d").is_null().to_numpy()  # the first row of each tree
+            at = np.flatnonzero(~head)
+            delta, d = t.column("delta").to_numpy(), t.column("d").fill_null(0).to_numpy()
+            carry, after = delta[head][tree], t.column("next").fill_null(-(1 << 40)).to_numpy()[head][tree]
+            pos = tree[at] * SHARD + d[at] - t.column("shard").to_numpy()[at] * SHARD
+            count = Forest(pos, delta[at][:, None]).range_sum(tree[at] * SHARD, pos + 1)[:, 0] + carry[at]
+            last = np.r_[tree[at][1:] != tree[at][:-1], True]
+            until = np.where(last, after[at], np.r_[d[at][1:], 0]) - 1  # a shard's last change holds until the next shard's first
+            hit = np.flatnonzero((count >= least) & (until >= d[at]))
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(k[at][hit]), pa.array(d[at][hit].astype(np.int32)), pa.array(until[hit].astype(np.int32)), pa.array(count[hit])], names=["k", "a", "b", "members"])
+
+    runs = rows.repartition("k", "shard").sortWithinPartitions("k", "shard", F.col("d").isNotNull(), "d").mapInArrow(answer, "k long, a int, b int, members long")
     kind = acts.schema[entity].dataType
     return runs.select(
         F.floor(F.col("k") / n).cast(kind).alias(entity),

@@ -63,8 +63,7 @@ def a1_window_totals(s, d):
 
 def w2_titles(s, d):
     """Whether the cluster window of each entity holds a C-suite title, vice ranks
-    apart; false without a cluster. The SQL has three of the words only, and takes
-    all purchases of entities without a cluster."""
+    apart; false without a cluster."""
     b = _buys(s, d)
     c = cluster.first_clusters(b, "empresa_id", "nombre_insider", "fecha_transaccion", 60, 3)
     return cluster.any_in_window(b, c, "empresa_id", "fecha_transaccion", 60, cluster.mentions("cargo", *CSUITE), "alto_cargo")
@@ -397,8 +396,7 @@ def n5_items(s, d):
 
 def n7_citations(s, d):
     """Three quotes for every document: a piece of its text, too short to count in
-    short texts, one never written and a short one. The SQL has the texts of more
-    than 120 characters only."""
+    short texts, one never written and a short one."""
     docs = table(s, d, "documents")
     quotes = F.array(F.concat(F.upper(F.substring("text", 20, 60)), F.lit(" [MD&A]")), F.lit("this sentence was never written by anyone"), F.lit("short"))
     return text.verify_citations(docs.withColumn("q", quotes), "doc_id", "text", "q")
@@ -547,8 +545,8 @@ SQL = {
     + " SELECT e AS empresa_id, members_max, strftime(detected, '%Y-%m-%d') AS detected FROM clusters WHERE found",
     "a1_window_totals": _IN + "SELECT empresa_id, count(DISTINCT nullif(nombre_insider, '')) AS insiders, CAST(coalesce(sum(importe_total), 0) AS DOUBLE) AS importe FROM inside GROUP BY empresa_id",
     "w2_titles": _IN
-    + r"""SELECT empresa_id, bool_or(coalesce(t LIKE '%CHIEF EXECUTIVE%' OR t LIKE '%CEO%' OR t LIKE '%PRESIDENT%', FALSE)) AS alto_cargo
-FROM (SELECT empresa_id, regexp_replace(replace(upper(cargo), 'VICE PRESIDENT', ''), '\b[SEA]?VP\b', '', 'g') AS t FROM inside) x GROUP BY empresa_id""",
+    + f"""SELECT c.e AS empresa_id, coalesce(bool_or(c.found AND ({' OR '.join(f"contains(t, '{w}')" for w in CSUITE[0])})), FALSE) AS alto_cargo
+FROM clusters c LEFT JOIN (SELECT empresa_id, regexp_replace(replace(replace(upper(cargo), 'VICE PRESIDENT', ''), 'VICE CHAIRMAN', ''), '{CSUITE[2]}', '', 'g') AS t FROM inside) x ON x.empresa_id = c.e GROUP BY c.e""",
     "w3_growth": "WITH " + _Q + """,
 s AS (SELECT * FROM (SELECT empresa_id, q, CAST(revenue AS DOUBLE) AS v, row_number() OVER (PARTITION BY empresa_id ORDER BY q DESC) AS rn, count(*) OVER (PARTITION BY empresa_id) AS n FROM quarters WHERE revenue > 0) t WHERE rn <= 8),
 g AS (SELECT empresa_id, q, n, (v - lag(v) OVER w) / lag(v) OVER w AS g, q - lag(q) OVER w AS step FROM s WINDOW w AS (PARTITION BY empresa_id ORDER BY q)),

@@ -14,9 +14,10 @@ def text_day(c) -> F.Column:
     return F.date_format(c, "yyyy-MM-dd")
 
 
-def purchases(spark: SparkSession, d: str) -> DataFrame:
-    """Purchases of the latest loaded version of each transaction, with the insider's key."""
-    tx = table(spark, d, "insider_transactions").select("accession_number", "trans_sk", "fecha_registro", "id", "empresa_id", "nombre_insider", "tipo_transaccion", "fecha_transaccion", "acciones", "importe_total")
+def purchases(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Purchases of the latest loaded version of each transaction, with the insider's
+    key and the columns ``more``."""
+    tx = table(spark, d, "insider_transactions").select("accession_number", "trans_sk", "fecha_registro", "id", "empresa_id", "nombre_insider", "tipo_transaccion", "fecha_transaccion", *more)
     now = latest(tx, ["accession_number", "trans_sk"], [F.col("fecha_registro"), F.col("id")])
     name = F.upper(F.trim(F.regexp_replace("nombre_insider", r"^\s+|\s+$", "")))
     return (
@@ -42,9 +43,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_totales(spark: SparkSession, d: str) -> DataFrame:
     """Every empresa, with purchases or not, and every day from the first purchase
     of any to the last day known: 29 days after the last purchase of any, or the
-    last registration of one if later. The SQL has the days of each empresa from its
-    first purchase to 29 days after its last, and of the averages only that of purchases."""
-    buys = purchases(spark, d).filter("empresa_id is not null and dia is not null")
+    last registration of one if later, with totals and daily averages."""
+    buys = purchases(spark, d, "acciones", "importe_total").filter("empresa_id is not null and dia is not null")
     cents = F.round(F.col("importe_total") * 100, 0).cast("long")
     leaves = buys.groupBy("empresa_id", "dia").agg(
         F.count(F.lit(1)).alias("compras"), F.sum(F.coalesce("acciones", F.lit(0))).alias("acciones"), F.sum(F.coalesce(cents, F.lit(0))).alias("centimos"), F.max(F.unix_date(F.to_date("fecha_registro"))).alias("registro")
@@ -69,7 +69,7 @@ def p2_totales(spark: SparkSession, d: str) -> DataFrame:
 def p2_correcciones(spark: SparkSession, d: str) -> DataFrame:
     """Shares bought in the last 30 days of each purchase day, from trees built
     before 2022 and then corrected by what was registered later."""
-    buys = purchases(spark, d).select("empresa_id", "dia", "acciones", "fecha_registro")
+    buys = purchases(spark, d, "acciones").select("empresa_id", "dia", "acciones", "fecha_registro")
     early = F.coalesce(F.col("fecha_registro") < F.lit("2022-01-01").cast("timestamp_ntz"), F.lit(True))
     nodes = rolling.tree_nodes(buys.filter(early), "empresa_id", "dia", ["acciones"])
     nodes = rolling.correct_nodes(nodes, buys.filter(~early), "empresa_id", "dia", ["acciones"])
@@ -109,7 +109,7 @@ QUERIES = {
 
 _BUYS = """
 buys AS (
-  SELECT empresa_id, fecha_transaccion AS f, acciones, importe_total,
+  SELECT empresa_id, fecha_transaccion AS f, acciones, importe_total, fecha_registro,
          CASE WHEN nombre_insider IS NULL THEN '' ELSE '=' || upper(trim(nombre_insider)) END AS insider
   FROM (SELECT *, row_number() OVER (PARTITION BY accession_number, trans_sk ORDER BY fecha_registro DESC NULLS LAST, id DESC) AS rn
         FROM insider_transactions) t
@@ -145,15 +145,18 @@ FROM near GROUP BY empresa_id, dias, dia HAVING count(DISTINCT insider) >= 3""",
     "p2_totales": f"""
 WITH {_BUYS},
 leaf AS (SELECT empresa_id, f AS dia, count(*) AS compras, sum(coalesce(acciones, 0)) AS acciones, sum(coalesce(CAST(round(importe_total * 100, 0) AS BIGINT), 0)) AS centimos FROM buys GROUP BY 1, 2),
-cal AS (SELECT empresa_id, CAST(unnest(generate_series(min(dia), max(dia) + 29, INTERVAL 1 DAY)) AS DATE) AS dia FROM leaf GROUP BY 1),
+known AS (SELECT min(f) AS a, greatest(max(f) + 29, max(CAST(fecha_registro AS DATE))) AS z FROM buys),
+every AS (SELECT id AS empresa_id FROM empresas WHERE id IS NOT NULL UNION SELECT empresa_id FROM buys),
+cal AS (SELECT empresa_id, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS dia FROM every, known WHERE a IS NOT NULL),
 near AS (SELECT b.empresa_id, w.dias, CAST(b.f + CAST(k AS INTEGER) AS DATE) AS dia, count(DISTINCT b.insider) AS c
   FROM buys b, (SELECT unnest([7, 30]) AS dias) w, (SELECT unnest(range(0, 30)) AS k) o WHERE k < w.dias GROUP BY 1, 2, 3),
 d AS (SELECT c.empresa_id, c.dia, coalesce(compras, 0) AS n, coalesce(acciones, 0) AS a, coalesce(centimos, 0) AS c FROM cal c LEFT JOIN leaf l ON l.empresa_id = c.empresa_id AND l.dia = c.dia),
 s AS (SELECT empresa_id, dia, sum(n) OVER v AS n7, sum(a) OVER v AS a7, sum(c) OVER v AS c7, sum(n) OVER m AS n30, sum(a) OVER m AS a30, sum(c) OVER m AS c30
       FROM d WINDOW v AS (PARTITION BY empresa_id ORDER BY dia ROWS 6 PRECEDING), m AS (PARTITION BY empresa_id ORDER BY dia ROWS 29 PRECEDING))
 SELECT s.empresa_id, strftime(s.dia, '%Y-%m-%d') AS fecha, coalesce(x.c, 0) AS compradores_7, coalesce(y.c, 0) AS compradores_30,
-  CAST(n7 AS BIGINT) AS compras_7, CAST(a7 AS BIGINT) AS acciones_7, CAST(c7 AS BIGINT) AS centimos_7, round(CAST(n7 AS DOUBLE) / 7, 6) AS compras_dia_7,
-  CAST(n30 AS BIGINT) AS compras_30, CAST(a30 AS BIGINT) AS acciones_30, CAST(c30 AS BIGINT) AS centimos_30, round(CAST(n30 AS DOUBLE) / 30, 6) AS compras_dia_30
+  CAST(n7 AS BIGINT) AS compras_7, CAST(a7 AS BIGINT) AS acciones_7, CAST(c7 AS BIGINT) AS centimos_7, CAST(n30 AS BIGINT) AS compras_30, CAST(a30 AS BIGINT) AS acciones_30, CAST(c30 AS BIGINT) AS centimos_30,
+  round(CAST(n7 AS DOUBLE) / 7, 6) AS compras_dia_7, round(CAST(a7 AS DOUBLE) / 7, 6) AS acciones_dia_7, round(CAST(c7 AS DOUBLE) / 7, 6) AS centimos_dia_7, round(CAST(coalesce(x.c, 0) AS DOUBLE) / 7, 6) AS compradores_dia_7,
+  round(CAST(n30 AS DOUBLE) / 30, 6) AS compras_dia_30, round(CAST(a30 AS DOUBLE) / 30, 6) AS acciones_dia_30, round(CAST(c30 AS DOUBLE) / 30, 6) AS centimos_dia_30, round(CAST(coalesce(y.c, 0) AS DOUBLE) / 30, 6) AS compradores_dia_30
 FROM s LEFT JOIN near x ON x.empresa_id = s.empresa_id AND x.dia = s.dia AND x.dias = 7 LEFT JOIN near y ON y.empresa_id = s.empresa_id AND y.dia = s.dia AND y.dias = 30""",
     "p2_correcciones": f"""
 WITH {_BUYS},

@@ -82,3 +82,43 @@ def test_nodes_corrections_and_queries(spark):
         ok = x["e"] is not None and x["a"] is not None
         assert x["v"] == (sum(v for e, d, v in plain if e == x["e"] and x["a"] <= d <= x["b"]) if ok else 0)
     assert rolling.query_nodes(nodes, q, "e", "a", "b", ["v"]).count() == 64
+
+
+def _brute(acts, windows, least):
+    out = set()
+    for e in {a[0] for a in acts}:
+        for w in windows:
+            days = {d + k for x, _, d in acts if x == e for k in range(w)}
+            for d in days:
+                if len({m for x, m, t in acts if x == e and d - w < t <= d}) >= least:
+                    out.add((e, w, d))
+    return out
+
+
+def test_far_dates_and_shards_leave_other_entities_alone(spark):
+    r = random.Random(12)
+    acts = [(e, f"m{r.randrange(6)}", r.choice([500, 505, 511, 512, 515, 1023, 1024, 1500]) + r.randrange(4)) for e in range(1, 5) for _ in range(40)]
+    acts += [(2, "x", -711_000), (2, "y", -711_001), (2, "z", -710_999), (3, "x", 2_932_000), (3, "y", 2_932_000)]
+    df = spark.createDataFrame(acts, "e int, m string, d int")
+    got = {(x["e"], x["window"], x["d"]) for x in rolling.days_with_members(df, "e", "m", "d", (7, 30), 3).collect()}
+    assert got == _brute(acts, (7, 30), 3)
+    near = [(e, d, 1) for e, _, d in acts if abs(d) < 5000 and e in (1, 4)] + [(9, -711_000, 5)]
+    leaves = spark.createDataFrame(near, "e int, d int, v int").groupBy("e", "d").agg(F.sum("v").alias("v"))
+    tot = rolling.trailing_totals(leaves.withColumn("r", F.col("v")), "e", "d", ["v"], (7, 600), running=("r",))
+    rows = {(x["e"], x["d"]): (x["v_7"], x["v_600"], x["r"]) for x in tot.collect()}
+    for e in (1, 4):
+        mine = [(d, n) for x, d, n in near if x == e]
+        lo, hi = min(mine)[0], max(mine)[0]
+        assert {d for x, d in rows if x == e} == set(range(lo, hi + 1))
+        for d in range(lo, hi + 1):
+            want = tuple(sum(n for t, n in mine if d - w < t <= d) for w in (7, 600, 10**6))
+            assert rows[(e, d)] == want
+    assert rows[(9, -711_000)] == (5, 5, 5)
+
+
+def test_one_buyer_with_a_third_of_all_rows_is_combined_first(spark):
+    acts = spark.range(3000).select(F.lit(1).alias("e"), F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("="), F.col("id").cast("string"))).alias("m"), (F.col("id") % 5).cast("int").alias("d"))
+    plan = rolling.presence_deltas(acts, "e", "m", "d", (7,))._jdf.queryExecution().executedPlan().toString()
+    lines = [x.strip(" :+-*()0123456789") for x in plan.splitlines()]
+    lowest = next(i for i in range(len(lines) - 1, -1, -1) if lines[i].startswith("Exchange"))
+    assert lines[lowest + 1].startswith("HashAggregate"), plan  # partial step below the first exchange
