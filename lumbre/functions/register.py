@@ -2,28 +2,67 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text
 
+_NUM = "try_cast(x AS DOUBLE)"
+_MONEY = lambda most, digits: f"CASE WHEN abs({_NUM}) <= {most} THEN round({_NUM}, {digits}) END"
+
+
+def _html_body() -> str:
+    """The expression of ``text.html_to_text`` as SQL."""
+    q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    t = "x"
+    for pattern, by in text.HTML_STEPS:
+        t = f"regexp_replace({t}, {q(pattern)}, {q(by)})" if by is not None else t
+    for name, char in text.ENTITIES.items():
+        t = f"replace({t}, {q(name)}, {q(char)})"
+    for pattern, by in text.BLANK_STEPS:
+        t = f"regexp_replace({t}, {q(pattern)}, {q(by)})"
+    return t
+
+
 #: SQL functions that are plain expressions.
 EXPRESSIONS = {
     "lumbre_cik(x STRING)": (
         "STRING",
         "CASE WHEN length(regexp_replace(split_part(trim(x), '.', 1), '[^0-9]', '')) BETWEEN 1 AND 10 THEN lpad(regexp_replace(split_part(trim(x), '.', 1), '[^0-9]', ''), 10, '0') END",
     ),
-    "lumbre_precio(x STRING)": ("DOUBLE", "CASE WHEN try_cast(x AS DOUBLE) > 0 AND try_cast(x AS DOUBLE) <= 1e6 THEN try_cast(x AS DOUBLE) END"),
+    "lumbre_precio(x STRING)": ("DOUBLE", f"CASE WHEN {_NUM} > 0 AND {_NUM} <= 1e6 THEN {_NUM} END"),
+    "lumbre_acciones(x STRING)": ("BIGINT", f"CASE WHEN {_NUM} <> 0 AND abs({_NUM}) <= 1e14 THEN CAST(abs({_NUM}) AS BIGINT) END"),
+    "lumbre_entero(x STRING)": ("BIGINT", f"try_cast({_NUM} AS BIGINT)"),
+    "lumbre_numerico(x STRING)": ("DOUBLE", _MONEY("99999999", 4)),
+    "lumbre_importe(x STRING)": ("DOUBLE", _MONEY("9999999999999", 2)),
+    "lumbre_codigo(x STRING)": ("STRING", "nullif(upper(trim(x)), '')"),
+    "lumbre_signo(x STRING)": ("STRING", "CASE WHEN upper(trim(x)) IN ('A', 'D') THEN upper(trim(x)) END"),
     "lumbre_indice_trimestre(y INT, q INT)": ("INT", "y * 4 + q - 1"),
+    "lumbre_trimestre(d DATE)": ("INT", "quarter(d)"),
     "lumbre_texto(x STRING)": ("STRING", "CASE WHEN lower(trim(x)) NOT IN ('nan', 'nat', 'none', '') THEN trim(x) END"),
     "lumbre_posicion(p DOUBLE, low DOUBLE, high DOUBLE)": ("DOUBLE", "CASE WHEN high > low THEN round((p - low) / (high - low), 4) END"),
+    "lumbre_html_a_texto(x STRING)": ("STRING", _html_body()),
+    "lumbre_primer_json(x STRING)": (
+        "STRING",
+        "aggregate(slice(split(substring(x, instr(x, '{')), '\\\\}'), 1, size(split(substring(x, instr(x, '{')), '\\\\}')) - 1), named_struct('seen', '', 'hit', CAST(NULL AS STRING)), "
+        "(a, p) -> CASE WHEN a.hit IS NOT NULL OR instr(x, '{') = 0 THEN a ELSE named_struct('seen', a.seen || p || '}', 'hit', CASE WHEN try_parse_json(a.seen || p || '}') IS NOT NULL THEN a.seen || p || '}' END) END).hit",
+    ),
+    "lumbre_cita_verificada(cita STRING, fuente STRING)": ("BOOLEAN", f"length(cita) >= {text.LEAST_QUOTE} AND contains(fuente, cita)"),
 }
 
 
+@F.pandas_udf(T.StringType())
+def _folded(s: pd.Series) -> pd.Series:
+    bare = s.str.replace(f"[{text.QUOTES}]", "", regex=True).str.normalize("NFKD").str.replace(r"[^\x00-\x7f]", "", regex=True)
+    return bare.str.lower().str.split().str.join(" ")
+
+
 def register_functions(spark: SparkSession) -> list[str]:
-    """Register all of them for the session and return their names."""
+    """Register all of them for the session and return their names. ``lumbre_cita_verificada``
+    takes a quote and a source that ``lumbre_normalizado`` has folded."""
     for head, (kind, body) in EXPRESSIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
-    udfs = {"lumbre_html_a_texto": text.html_to_text, "lumbre_seccion_mda": text.extract_discussion, "lumbre_item_8k": text.extract_item, "lumbre_normalizado": text.folded, "lumbre_primer_json": text.first_json}
-    for name, f in udfs.items():
-        spark.udf.register(name, f)
-    return [h.split("(")[0] for h in EXPRESSIONS] + list(udfs)
+    spark.udf.register("lumbre_normalizado", _folded)
+    return [h.split("(")[0] for h in EXPRESSIONS] + ["lumbre_normalizado"]

@@ -360,19 +360,18 @@ def f13_quarters(s, d):
 
 def f15_items(s, d):
     e = table(s, d, "eventos_8k").groupBy("accession_number").agg(F.array_join(F.array_sort(F.collect_list("item")), " , ").alias("items"))
-    return e.select("accession_number", F.size(clean.item_list("items")).alias("n"), F.size(F.array_intersect(clean.item_list("items"), F.array(F.lit("1.01"), F.lit("5.02")))).alias("relevantes"))
+    return e.select("accession_number", F.array_join(clean.item_list("items"), "|").alias("lista"), F.array_join(F.array_sort(F.array_intersect(clean.item_list("items"), F.array(F.lit("1.01"), F.lit("5.02")))), "|").alias("relevantes"))
 
 
 def f17_percent(s, d):
-    docs = table(s, d, "documents").filter("source = 'extracto_13dg'")
-    return docs.select("doc_id", text.percent_of_class(F.concat(F.lit("Percent of class: "), "text")).alias("pct"))
+    """Declared percentages of every document."""
+    return table(s, d, "documents").select("doc_id", text.percent_of_class("text").alias("pct"))
 
 
 def f19_anonymous(s, d):
     e = table(s, d, "empresas").select(F.col("id").alias("empresa_id"), "nombre", "ticker")
-    t = table(s, d, "documents").join(e, "empresa_id").select("doc_id", text.anonymised(F.col("text"), F.col("nombre"), F.col("ticker")).alias("t"))
-    count = lambda w: F.regexp_count("t", F.lit(w))
-    return t.select("doc_id", count("la Empresa").cast("long").alias("nombres"), count("20XX").cast("long").alias("anios"))
+    t = table(s, d, "documents").join(e, "empresa_id")
+    return t.select("doc_id", F.md5(text.anonymised(F.col("text"), F.col("nombre"), F.col("ticker"))).alias("huella"))
 
 
 def n1_sector_json(s, d):
@@ -382,16 +381,17 @@ def n1_sector_json(s, d):
 
 
 def n4_sections(s, d):
-    """Discussion sections of periodic reports."""
-    docs = table(s, d, "documents").filter("source = 'mda_10q'")
-    t = docs.select("doc_id", text.extract_discussion(text.html_to_text("text")).alias("x"))
-    return t.select("doc_id", F.col("x.aislada").alias("aislada"), F.length("x.texto").alias("largo"))
+    """Discussion sections of all documents."""
+    t = table(s, d, "documents").select("doc_id", text.extract_discussion(text.html_to_text("text")).alias("x"))
+    return t.select("doc_id", F.col("x.aislada").alias("aislada"), F.length("x.texto").alias("largo"), F.md5("x.texto").alias("huella"))
 
 
 def n5_items(s, d):
+    """The item of every event; the text of a document is read once, then meets its events."""
     ev = table(s, d, "eventos_8k").filter("doc_id is not null").select("id", "doc_id", "item")
-    j = ev.join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
-    return j.select("id", text.extract_item(text.html_to_text("text"), F.col("item")).alias("x")).select("id", F.col("x.aislada").alias("aislada"), F.length("x.texto").alias("largo"))
+    docs = table(s, d, "documents").join(ev.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", text.html_to_text("text").alias("t"))
+    j = ev.join(docs, "doc_id").select("id", text.extract_item("t", "item").alias("x"))
+    return j.select("id", F.col("x.aislada").alias("aislada"), F.length("x.texto").alias("largo"), F.md5("x.texto").alias("huella"))
 
 
 def n7_citations(s, d):
@@ -403,7 +403,7 @@ def n7_citations(s, d):
 
 
 def f18_folded(s, d):
-    return table(s, d, "documents").select("doc_id", F.length(text.folded("text")).alias("largo"))
+    return table(s, d, "documents").select("doc_id", F.md5(text.folded("text")).alias("huella"))
 
 
 def s5_snapshot(s, d):
@@ -489,10 +489,22 @@ def dq_nulls(s, d):
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), F.col(c).alias("nulos")) for c in cols])).alias("x")).select("x.*")
 
 
+def s9_text(s, d):
+    """Plain text of every document."""
+    return table(s, d, "documents").select("doc_id", F.md5(text.html_to_text("text")).alias("huella"))
+
+
+def f20_json(s, d):
+    """The first JSON object of every text, with words around it in every other document."""
+    docs = table(s, d, "documents").withColumn("t", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Respuesta: "), "text", F.lit(" -- fin {"))).otherwise(F.col("text")))
+    x = text.first_json("t")
+    return docs.select("doc_id", F.get_json_object(x, "$.veredicto_preliminar").alias("veredicto"), x.isNotNull().alias("hallado"))
+
+
 QUERIES = {f.__name__: f for f in (
     w1_clusters, w1_orders, w10_before, a1_window_totals, w2_titles, w3_growth, w4_margins, w4_cash, w7_labels, w9_sample, j6_quarter_of_filing, j7_shares, j8_price_before, j9_price_after, j11_purchases_before, a2_worklist,
     l7_group_limit, j16_no_recent_quarter, j17_with_shares, j20_history, j18_documents, k2_upsert, k10_insert, k3_quarters, a3_funnel, a5_columns, a6_upper_median, a7_median, a8_recall, a9_smallest, a10_buckets, l1_top,
-    l5_latest_purchases, n8_context, u2_drilldown, u4_parameters, f24_returns, f26_excess, w8_peaks, f_clean, f13_quarters, f15_items, f17_percent, f19_anonymous, n1_sector_json, s5_snapshot, s10_latest_by_form, j4_with_verdict, x17_unaudited, k5_fill, a11_split, a11_groups, fn_sql, dq_rules, dq_nulls, n4_sections, n5_items, n7_citations, f18_folded,
+    l5_latest_purchases, n8_context, u2_drilldown, u4_parameters, f24_returns, f26_excess, w8_peaks, f_clean, f13_quarters, f15_items, f17_percent, f19_anonymous, n1_sector_json, s5_snapshot, s10_latest_by_form, j4_with_verdict, x17_unaudited, k5_fill, a11_split, a11_groups, fn_sql, dq_rules, dq_nulls, n4_sections, n5_items, n7_citations, f18_folded, s9_text, f20_json,
 )}
 
 # SQL ------------------------------------------------------------------------
@@ -629,12 +641,10 @@ FROM insider_transactions""",
     "f13_quarters": """
 SELECT id, CAST(year(fecha_fin) AS INTEGER) AS anio, CAST(quarter(fecha_fin) AS INTEGER) AS trim, coalesce(fecha_fin - fecha_inicio BETWEEN 80 AND 100, FALSE) AS es_trimestral,
   CAST((2026 - year(fecha_fin)) * 12 + 11 - month(fecha_fin) AS INTEGER) AS meses FROM metricas_trimestrales""",
-    "f15_items": "SELECT accession_number, CAST(count(*) AS INTEGER) AS n, CAST(count(DISTINCT CASE WHEN item IN ('1.01', '5.02') THEN item END) AS INTEGER) AS relevantes FROM eventos_8k GROUP BY 1",
-    "f17_percent": r"""
+    "f15_items": "SELECT accession_number, string_agg(item, '|' ORDER BY item) AS lista, coalesce(string_agg(DISTINCT item, '|' ORDER BY item) FILTER (WHERE item IN ('1.01', '5.02')), '') AS relevantes FROM eventos_8k GROUP BY 1",
+    "f17_percent": f"""
 SELECT doc_id, CASE WHEN v BETWEEN 0 AND 100 THEN v END AS pct FROM (
-  SELECT doc_id, try_cast(replace(coalesce(nullif(regexp_extract(text, '(?i)<[^>/]*percent[^>]*>\s*(\d{1,3}(?:\.\d{1,2})?)\s*<', 1), ''),
-    nullif(regexp_extract('Percent of class: ' || text, '(?is)percent\s+of\s+class.{0,200}?(\d{1,3}(?:[.,]\d{1,2})?)\s*%', 1), '')), ',', '.') AS DOUBLE) AS v
-  FROM documents WHERE source = 'extracto_13dg') x""",
+  SELECT doc_id, try_cast(replace(coalesce(nullif(regexp_extract(text, '{text.PERCENT_TAG}', 1), ''), nullif(regexp_extract(text, '{text.PERCENT_PROSE}', 1), '')), ',', '.') AS DOUBLE) AS v FROM documents) x""",
     "n1_sector_json": "SELECT id, json_valid(metricas_sector) AS legible, CASE WHEN json_valid(metricas_sector) THEN try_cast(json_extract_string(metricas_sector, '$.cash_runway_months') AS BIGINT) END AS meses_caja FROM metricas_trimestrales WHERE metricas_sector IS NOT NULL",
     "f24_returns": "WITH " + _PR + ", a1 AS (SELECT *, CAST(d0 + 5 AS DATE) AS d1, CAST(d0 + 15 AS DATE) AS d2 FROM asks)," + _look("i", "a1", "d1", True, 11) + "," + _look("o", "i", "d2", True, 11)
     + " SELECT event_id, CASE WHEN i_v > 0 AND o_v > 0 THEN round((o_v - i_v) / i_v, 6) END AS retorno FROM o",
@@ -657,17 +667,68 @@ def _top(src: str, day: str, k: int, name: str) -> str:
 
 SQL["n8_context"] = "WITH " + _BUYS + "," + _top("eventos_8k", "fecha_evento", 5, "eventos") + "," + _top("participaciones_activistas", "fecha_evento", 3, "participaciones") + "," + _top("buys", "fecha_transaccion", 10, "compras") + """
 SELECT e.id AS empresa_id, e.ticker, a.eventos, b.participaciones, c.compras FROM empresas e LEFT JOIN eventos a ON a.empresa_id = e.id LEFT JOIN participaciones b ON b.empresa_id = e.id LEFT JOIN compras c ON c.empresa_id = e.id"""
-SQL["f19_anonymous"] = r"""
-WITH j AS (SELECT d.doc_id, d.text, e.nombre, e.ticker, regexp_replace(trim(e.nombre), '(?i),?\s*(incorporated|corporation|corp\.?|inc\.?|ltd\.?|llc|plc|holdings?|group|company|co\.)\s*$', '') AS base FROM documents d JOIN empresas e ON e.id = d.empresa_id),
+SQL["f19_anonymous"] = f"""
+WITH j AS (SELECT d.doc_id, d.text, e.nombre, e.ticker, regexp_replace(trim(e.nombre), '(?i){text.LEGAL_SUFFIX}', '') AS base FROM documents d JOIN empresas e ON e.id = d.empresa_id),
 a AS (SELECT *, CASE WHEN length(nombre) >= 4 THEN regexp_replace(text, '(?i)' || regexp_escape(nombre), 'la Empresa', 'g') ELSE text END AS t1 FROM j),
 b AS (SELECT *, CASE WHEN length(base) >= 4 THEN regexp_replace(t1, '(?i)' || regexp_escape(base), 'la Empresa', 'g') ELSE t1 END AS t2 FROM a),
-c AS (SELECT doc_id, regexp_replace(t2, '\b(19\d{2}|20\d{2})\b', '20XX', 'g') AS t FROM b)
-SELECT doc_id, CAST((length(t) - length(replace(t, 'la Empresa', ''))) // 10 AS BIGINT) AS nombres, CAST((length(t) - length(replace(t, '20XX', ''))) // 4 AS BIGINT) AS anios FROM c"""
-SQL["f18_folded"] = r"""
-SELECT doc_id, CAST(length(trim(regexp_replace(lower(regexp_replace(strip_accents(replace(replace(regexp_replace(text, '[''’‘"“”]', '', 'g'), '…', '...'), chr(160), ' ')), '[^\x00-\x7F]', '', 'g')), '\s+', ' ', 'g'))) AS INTEGER) AS largo FROM documents"""
-SQL["n7_citations"] = """
-SELECT doc_id, h AS citas_verificadas, CAST(3 AS INTEGER) AS citas_totales, CAST(1 AS INTEGER) AS demasiado_cortas, round(h / 3.0::DOUBLE * 100, 1) AS porcentaje_verificado, h / 3.0::DOUBLE * 100 < 50 AS alucinacion_detectada
-FROM (SELECT doc_id, CAST(CASE WHEN contains(lower(text), lower(substring(text, 20, 60))) THEN 1 ELSE 0 END AS INTEGER) AS h FROM documents WHERE length(text) > 120) x"""
+c AS (SELECT *, CASE WHEN length(ticker) >= 2 THEN regexp_replace(t2, '\\b' || regexp_escape(ticker) || '\\b', 'XXXX', 'g') ELSE t2 END AS t3 FROM b)
+SELECT doc_id, md5(regexp_replace(t3, '\\b(19\\d{{2}}|20\\d{{2}})\\b', '20XX', 'g')) AS huella FROM c"""
+
+
+def _folded_sql(x: str) -> str:
+    """Letters without marks; the compatibility forms the texts hold are written out."""
+    plain = f"regexp_replace({x}, '[''’‘\"“”]', '', 'g')"
+    for a, b in (("…", "..."), ("\u00a0", " "), ("½", "12"), ("™", "TM")):
+        plain = f"replace({plain}, '{a}', '{b}')"
+    return f"trim(regexp_replace(lower(regexp_replace(strip_accents({plain}), '[^\\x00-\\x7F]', '', 'g')), '\\s+', ' ', 'g'))"
+
+
+SQL["f18_folded"] = f"SELECT doc_id, md5({_folded_sql('text')}) AS huella FROM documents"
+SQL["n7_citations"] = f"""
+WITH t AS (SELECT doc_id, {_folded_sql("coalesce(text, '')")} AS src, {_folded_sql("upper(substring(text, 20, 60))")} AS q FROM documents),
+h AS (SELECT doc_id, CAST(coalesce(length(q) >= 8 AND contains(src, q), FALSE) AS INTEGER) AS hit, CAST(coalesce(length(q) < 8, TRUE) AS INTEGER) AS corta FROM t)
+SELECT doc_id, hit AS citas_verificadas, CAST(3 AS INTEGER) AS citas_totales, CAST(1 + corta AS INTEGER) AS demasiado_cortas, round(hit / 3.0::DOUBLE * 100, 1) AS porcentaje_verificado, hit / 3.0::DOUBLE * 100 < 50 AS alucinacion_detectada FROM h"""
+
+
+def _html_sql(x: str) -> str:
+    q = lambda v: "'" + v.replace("'", "''") + "'"
+    hidden, ends, tags = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->", r"^(?:<[/!?]?[A-Za-z][^<>]*>)+|(?:<[/!?]?[A-Za-z][^<>]*>)+$", r"(?:<[/!?]?[A-Za-z][^<>]*>)+"
+    t = f"regexp_replace(regexp_replace(regexp_replace({x}, '{hidden}', '<x>', 'g'), '{ends}', '', 'g'), '{tags}', chr(10), 'g')"
+    for name, char in text.ENTITIES.items():
+        t = f"replace({t}, {q(name)}, {q(char)})"
+    return f"regexp_replace(regexp_replace({t}, '\\n\\s*\\n', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g')"
+
+
+def _places(name: str, src: str, pattern: str) -> str:
+    """Places (from, to) of all matches, from the lengths of what lies between them."""
+    q = pattern.replace("'", "''")
+    return f"""{name} AS (SELECT id, i, sum(length(parts[i])) OVER w + coalesce(sum(length(hits[i])) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, hits[i] AS hit
+  FROM (SELECT id, parts, hits, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT id, string_split_regex(t, '{q}') AS parts, regexp_extract_all(t, '{q}') AS hits FROM {src}) x) y WINDOW w AS (PARTITION BY id ORDER BY i))"""
+
+
+_XREF = " OR ".join(f"contains(near, '{p}')" for p in text.CROSS_REFERENCES)
+SQL["s9_text"] = f"SELECT doc_id, md5({_html_sql('text')}) AS huella FROM documents"
+SQL["n4_sections"] = f"""
+WITH docs AS (SELECT doc_id AS id, {_html_sql('text')} AS t FROM documents),
+{_places('strict', 'docs', '(?i)' + text.MDA_START)}, {_places('loose', 'docs', '(?i)' + text.MDA_LOOSE)},
+{_places('item3', 'docs', '(?i)' + text.MDA_END)}, {_places('item4', 'docs', '(?i)' + text.MDA_END_OTHER)},
+free AS (SELECT l.id, l.a, l.hit FROM (SELECT l.*, lower(right(substring(t, 1, CAST(a AS BIGINT)), {text.REFERENCE_REACH})) AS near FROM loose l JOIN docs d ON d.id = l.id) l WHERE NOT ({_XREF})),
+starts AS (SELECT id, a, hit, {text.LEAST_DISCUSSION} AS least FROM strict UNION ALL SELECT id, a, hit, {text.LEAST_LOOSE} FROM free WHERE id NOT IN (SELECT id FROM strict)),
+stops AS (SELECT s.*, coalesce((SELECT min(e.a) FROM item3 e WHERE e.id = s.id AND e.a >= s.a + length(s.hit)), (SELECT min(e.a) FROM item4 e WHERE e.id = s.id AND e.a >= s.a + length(s.hit))) AS z FROM starts s),
+gaps AS (SELECT *, coalesce(z - a - length(hit), {text.OPEN_DISCUSSION}) AS gap FROM stops),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap DESC, a) AS rn FROM gaps) x WHERE rn = 1 AND gap >= least),
+out AS (SELECT d.id, b.id IS NOT NULL AS ok, CASE WHEN b.id IS NULL THEN substring(t, 1, {text.WHOLE_DISCUSSION}) ELSE trim(regexp_replace(substring(t, CAST(b.a + 1 AS BIGINT), CAST(coalesce(b.z - b.a, {text.OPEN_DISCUSSION}) AS BIGINT)), '^\\s+|\\s+$', '', 'g')) END AS x FROM docs d LEFT JOIN best b ON b.id = d.id)
+SELECT id AS doc_id, ok AS aislada, CAST(length(x) AS INTEGER) AS largo, md5(x) AS huella FROM out"""
+SQL["n5_items"] = f"""
+WITH docs AS (SELECT e.id, e.item, {_html_sql('text')} AS t FROM eventos_8k e JOIN documents d ON d.doc_id = e.doc_id),
+{_places('heads', 'docs', '(?i)' + text.ITEM_HEADING)}, {_places('stops', 'docs', '(?i)' + text.ITEM_HEADING + '|' + text.SIGNATURES)},
+starts AS (SELECT h.* FROM heads h JOIN docs d ON d.id = h.id WHERE regexp_matches(h.hit, '(?i)item\\s*' || regexp_escape(d.item))),
+gaps AS (SELECT s.id, s.a, s.hit, min(e.a) AS z FROM starts s LEFT JOIN stops e ON e.id = s.id AND e.a >= s.a + length(s.hit) GROUP BY 1, 2, 3),
+best AS (SELECT * FROM (SELECT *, coalesce(z - a - length(hit), {text.OPEN_ITEM}) AS gap, row_number() OVER (PARTITION BY id ORDER BY coalesce(z - a - length(hit), {text.OPEN_ITEM}) DESC, a) AS rn FROM gaps) x WHERE rn = 1 AND gap >= {text.LEAST_ITEM}),
+out AS (SELECT d.id, b.id IS NOT NULL AS ok, CASE WHEN b.id IS NULL THEN substring(t, 1, {text.WHOLE_ITEM}) ELSE trim(regexp_replace(substring(t, CAST(b.a + 1 AS BIGINT), CAST(coalesce(b.z - b.a, {text.OPEN_ITEM}) AS BIGINT)), '^\\s+|\\s+$', '', 'g')) END AS x FROM docs d LEFT JOIN best b ON b.id = d.id)
+SELECT id, ok AS aislada, CAST(length(x) AS INTEGER) AS largo, md5(x) AS huella FROM out"""
+SQL["f20_json"] = """
+SELECT doc_id, CASE WHEN json_valid(text) AND text LIKE '{%' THEN json_extract_string(text, '$.veredicto_preliminar') END AS veredicto, coalesce(json_valid(text) AND text LIKE '{%', FALSE) AS hallado FROM documents"""
 SQL["s5_snapshot"] = "SELECT id, CASE WHEN precio_max_52w > precio_min_52w THEN round((CAST(precio_actual AS DOUBLE) - precio_min_52w) / (CAST(precio_max_52w AS DOUBLE) - precio_min_52w), 4) END AS posicion FROM empresas"
 SQL["s10_latest_by_form"] = """
 SELECT empresa_id, strftime(max(CASE WHEN regexp_matches(f, '^10-Q') THEN fecha_doc END), '%Y-%m-%d') AS trimestral, strftime(max(CASE WHEN regexp_matches(f, '^8-K') THEN fecha_doc END), '%Y-%m-%d') AS actual,

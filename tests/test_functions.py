@@ -61,30 +61,34 @@ BODY = "words " * 200
 
 @pytest.mark.parametrize("head", ["Item 2. Management's Discussion and Analysis", "ITEM 2: MANAGEMENT’S DISCUSSION AND ANALYSIS", "Item 2 - Managements Discussion and Analysis"])
 @pytest.mark.parametrize("end", ["Item 3. Quantitative and Qualitative Disclosures", "Item 4. Controls and Procedures"])
-def test_discussion_takes_the_widest_gap(head, end):
+def test_discussion_takes_the_widest_gap(spark, head, end):
     doc = f"{head} 12\n{end} 30\ncover\n{head}\n{BODY}\n{end}\nrest"
-    got, isolated = text.discussion_section(doc)
+    got, isolated = one(spark, text.extract_discussion('x'), doc)
     assert isolated and got.startswith(head) and BODY.strip() in got and end not in got
 
 
-def test_discussion_fallbacks():
-    assert text.discussion_section(None) == (None, False)
-    assert text.discussion_section("nothing here") == ("nothing here", False)
+def test_discussion_fallbacks(spark):
+    section = lambda t, **k: tuple(one(spark, text.extract_discussion('x', **k), t))
+    assert section(None) == (None, False)
+    assert section("nothing here") == ("nothing here", False)
     loose = "should be read in conjunction with Management's Discussion and Analysis of Financial Condition in the report " + BODY
-    assert text.discussion_section(loose)[1] is False
+    assert section(loose)[1] is False
     real = "17\n\nManagement's Discussion and Analysis of Financial Condition\n" + BODY + "\nItem 4. Controls and Procedures"
-    assert text.discussion_section(real)[1] is True
-    assert len(text.discussion_section("x" * 60_000)[0]) == 50_000
+    assert section(real)[1] is True
+    assert len(section("x" * 60_000)[0]) == 50_000 and len(section("x" * 60_000, whole=None)[0]) == 60_000
+    tail = "Item 2. Management's Discussion and Analysis" + "y" * 40_000
+    assert len(section(tail)[0]) == 30_000 and section(tail, open_length=None) == (tail, True)
 
 
-def test_item_section():
+def test_item_section(spark):
+    section = lambda t, i: tuple(spark.createDataFrame([(t, i)], 't string, i string').select(text.extract_item('t', 'i').alias('r')).first()[0])
     doc = "Item 1.01 and Item 9.01\n" + "Item 1.01 Entry\n" + BODY + "\nItem 9.01 Exhibits\nlist\nSIGNATURES\nx"
-    got, ok = text.item_section(doc, "1.01")
+    got, ok = section(doc, "1.01")
     assert ok and got.startswith("Item 1.01 Entry") and "Exhibits" not in got
     last = "Item 5.02 Departure\n" + BODY + "\nPursuant to the requirements of the Securities Exchange Act of 1934\nx"
-    assert "Pursuant" not in text.item_section(last, "5.02")[0]
-    assert text.item_section("Item 1x01 " + BODY, "1.01")[1] is False
-    assert text.item_section(None, "1.01") == (None, False) and text.item_section("abc", None) == ("abc", False)
+    assert "Pursuant" not in section(last, "5.02")[0]
+    assert section("Item 1x01 " + BODY, "1.01")[1] is False
+    assert section(None, "1.01") == (None, False) and section("abc", None) == ("abc", False)
 
 
 @pytest.mark.parametrize(
@@ -101,9 +105,11 @@ def test_anonymised(spark):
     assert got[0] == "la Empresa said la Empresa grew in 20XX. XXXX rose; ACMX not." and got[1] == "plain 1850" and got[2] is None
 
 
-def test_first_json():
-    assert text.first_object('Sure: {"a": {"b": 1}} and more {') == '{"a": {"b": 1}}'
-    assert text.first_object("none") is None and text.first_object(None) is None and text.first_object("{broken") is None
+def test_first_json(spark):
+    first = lambda t: one(spark, text.first_json('x'), t)
+    assert first('Sure: {"a": {"b": 1}} and more {') == '{"a": {"b": 1}}'
+    assert first('{"a": "x } y"} rest') == '{"a": "x } y"}'
+    assert first("none") is None and first(None) is None and first("{broken") is None
 
 
 def test_citations(spark):
@@ -122,4 +128,4 @@ def test_citations(spark):
     assert (got[3]["citas_totales"], got[3]["porcentaje_verificado"], got[3]["alucinacion_detectada"]) == (0, 0.0, False)
     assert got[4]["citas_totales"] == 0 and got[5]["citas_verificadas"] == 0
     assert (got[6]["demasiado_cortas"], got[6]["citas_totales"]) == (2, 2)
-    assert text.fold_for_comparison("  HOLA   Mundo ") == "hola mundo"
+    assert one(spark, text.folded("x"), "  HOLA   Mundo “é” ") == "hola mundo e" and one(spark, text.folded("x"), None) is None
