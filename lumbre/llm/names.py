@@ -54,22 +54,21 @@ ORG_WORDS = frozenset(
 )
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
 
-#: Words of titles and their short forms.
+#: Short forms in titles that stand for one thing.
 TITLE_SHORT = {
-    "ceo": "chief executive officer", "cfo": "chief financial officer", "coo": "chief operating officer", "cto": "chief technology officer", "cio": "chief information officer", "cmo": "chief marketing officer",
-    "cao": "chief accounting officer", "clo": "chief legal officer", "cso": "chief strategy officer", "chro": "chief human resources officer", "gc": "general counsel", "vp": "vice president", "evp": "executive vice president",
+    "ceo": "chief executive officer", "cfo": "chief financial officer", "coo": "chief operating officer", "cto": "chief technology officer",
+    "chro": "chief human resources officer", "gc": "general counsel", "vp": "vice president", "evp": "executive vice president",
     "svp": "senior vice president", "avp": "assistant vice president", "ch": "chief", "exec": "executive", "fin": "financial", "finl": "financial", "oper": "operating", "ops": "operations", "tech": "technology", "offcr": "officer",
     "ofcr": "officer", "off": "officer", "dir": "director", "directors": "director", "pres": "president", "prez": "president", "chmn": "chairman", "chm": "chairman", "chair": "chairman", "chairperson": "chairman", "chairwoman": "chairman",
     "secy": "secretary", "sec": "secretary", "corp": "corporate", "gen": "general", "genl": "general", "coun": "counsel", "treas": "treasurer", "acct": "accounting", "actg": "accounting", "acctg": "accounting", "mgr": "manager",
     "sr": "senior", "snr": "senior", "asst": "assistant", "info": "information", "mktg": "marketing", "dev": "development", "bd": "board", "mbr": "member", "v": "vice", "10": "ten", "percent": "percent", "pct": "percent", "holder": "owner",
-    "shareholder": "owner", "comptroller": "controller", "admin": "administrative", "hr": "human resources", "legal": "legal", "strat": "strategy", "comm": "commercial", "mng": "managing", "mgmt": "management", "opers": "operations",
+    "shareholder": "owner", "comptroller": "controller", "admin": "administrative", "hr": "human resources", "strat": "strategy", "comm": "commercial", "mng": "managing", "mgmt": "management", "opers": "operations",
+}
+#: Short forms that stand for several offices: what the second of their three words may be.
+TITLE_UNSURE = {
+    "cio": "information investment", "cso": "strategy security scientific science sustainability sales", "cao": "accounting administrative", "cmo": "marketing medical", "cco": "commercial compliance communications customer",
+    "cro": "revenue risk restructuring", "cdo": "data digital development", "cpo": "people product procurement", "clo": "legal learning",
 }
-TITLE_WORDS = frozenset(
-    (
-        "chief executive officer financial operating technology information marketing accounting legal strategy human resources general counsel vice president senior assistant operations director chairman secretary corporate treasurer manager "
-        "administrative commercial managing management development board member ten percent owner controller finance sales research engineering independent founder principal deputy"
-    ).split()
-)
 #: Words that don't tell offices apart.
 TITLE_FILLER = frozenset("of the and a an for to at board member corporate".split())
 
@@ -334,54 +333,73 @@ def block_keys(name: Name) -> list[str]:
 
 
 @lru_cache(maxsize=100_000)
-def _title_word(t: str) -> str:
-    if t in TITLE_WORDS or t in TITLE_FILLER or len(t) < 4:
-        return t
-    best = max(TITLE_WORDS, key=lambda w: (jaro_winkler(t, w), w))
-    return best if jaro_winkler(t, best) >= 0.87 else t
-
-
-@lru_cache(maxsize=100_000)
-def office(raw: str) -> str:
+def office(raw: str, sure: frozenset[str] = frozenset()) -> str:
     """The office a title names: its words in full and in order of the alphabet, for
-    each part of a combined title; empty if nothing is left."""
+    each part of a combined title; empty if nothing is left. ``sure`` are the full
+    forms ('chief x officer') that a short form of several meanings stands for."""
     s = fold(raw).replace("%", " percent ").replace("'", "").replace("’", "")
     s = re.sub(r"(?<=\b[a-z])\.\s?(?=[a-z]\b)", "", s)
     parts = re.split(r"\s*(?:/|&|;|\band\b)\s*", s)
     words: list[str] = []
     for t in re.findall(r"[^\W_]+", " ".join(parts)):
         t = read_digits(t) if not t.isdigit() else t
-        words += TITLE_SHORT.get(t, t).split()
-    words = [_title_word(w) for w in words]
+        full = [f"chief {x} officer" for x in TITLE_UNSURE.get(t, "").split() if f"chief {x} officer" in sure]
+        words += (full[0] if len(full) == 1 else TITLE_SHORT.get(t, t)).split()
     if "vice" in words and "president" in words and ("chief" not in words):
         words = ["finance" if w == "financial" else "operations" if w == "operating" else w for w in words]
     out = {w for w in words if w not in TITLE_FILLER}
     return " ".join(sorted(out)) or " ".join(sorted(set(words)))
 
 
-def _unlisted(o: str) -> list[str]:
-    """The words of an office that no table of titles holds and that are long enough for a slip."""
-    return [w for w in o.split() if w not in TITLE_WORDS and len(w) >= 4 and w.isalpha()]
-
-
-def office_block(o: str) -> str:
-    """The listed and short words of an office as they are and the letters of the others'
-    codes, which swapped letters leave as they are; empty without others."""
-    rest = _unlisted(o)
-    return " ".join([*(w for w in o.split() if w not in rest), "|", *sorted("".join(sorted(set(phonetic(w)))) for w in rest)]) if rest else ""
-
-
-def same_office(a: str, b: str) -> bool:
-    """Whether two offices of a block have, word by word, the same unlisted words but for slips."""
-    left, right = _unlisted(a), _unlisted(b)
-    for x in left:
+def one_slip(a: str, b: str) -> bool:
+    """Whether one letter too many, too few, wrong or swapped with the next tells two words
+    apart (two of them in words of twelve letters); the first letter is seldom wrong."""
+    if a == b:
+        return True
+    n = min(len(a), len(b))
+    if n < 4 or max(len(a), len(b)) < 5 or a[0] != b[0] or not (a.isalpha() and b.isalpha()):
+        return False
+    most = 2 if n >= 12 else 1
+    if abs(len(a) - len(b)) > most:
+        return False
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, rows[-2][j - 2] + 1)
+            row.append(d)
+        rows.append(row)
+    return rows[-1][-1] <= most
+
+
+def same_office(a: str, b: str, least: float = 0.88) -> bool:
+    """Whether two offices have, word by word, the same words but for slips: Jaro-Winkler of
+    ``least`` and a slip that explains the difference, since real words (development,
+    developer) can be as alike as a word and its misspelling."""
+    right = b.split()
+    for x in sorted(a.split(), key=lambda w: w not in right):
         near = max(right, key=lambda y: (jaro_winkler(x, y), y), default="")
-        if jaro_winkler(x, near) < 0.87 or abs(len(x) - len(near)) > 2:
+        if jaro_winkler(x, near) < least or not one_slip(x, near):
             return False
         right.remove(near)
     return not right
 
 
+def office_keys(o: str) -> list[str]:
+    """Blocks of an office: for each word the phonetic codes of its other words in order
+    of the alphabet, with the first letter of the word and the code of either its first
+    or its last three letters. A slip in one word leaves one of its keys as it was."""
+    words = o.split()
+    keys = set()
+    for i, w in enumerate(words):
+        rest = " ".join(sorted(phonetic(x) for x in words[:i] + words[i + 1 :]))
+        keys.add(f"{rest}|{w[0]}<{phonetic(w[:3])}")
+        keys.add(f"{rest}|{w[0]}>{phonetic(w[-3:])}")
+    return sorted(keys)
+
+
 # Operators ------------------------------------------------------------------
 
 
@@ -436,7 +454,7 @@ def name_variants(df: DataFrame, entity: str, name: str) -> DataFrame:
     """
     s = df.filter(F.col(entity).isNotNull() & (F.trim(name) != "")).select(F.col(entity).cast("long").alias("e"), F.col(name).alias("t")).distinct()
     pairs = accepted_pairs(s).select("e", F.col("a").alias("ta"), F.col("b").alias("tb"), F.xxhash64("e", "a").alias("a"), F.xxhash64("e", "b").alias("b"))
-    pairs = pairs.persist()
+    pairs = cut_lineage(pairs)  # edges and nodes
     groups = connected_components(pairs)
     nodes = pairs.select("e", F.col("ta").alias("t"), F.col("a").alias("id")).unionByName(pairs.select("e", F.col("tb").alias("t"), F.col("b").alias("id"))).distinct()
     kind = df.schema[entity].dataType
@@ -446,30 +464,39 @@ def name_variants(df: DataFrame, entity: str, name: str) -> DataFrame:
 def title_variants(df: DataFrame, title: str) -> DataFrame:
     """(spelling, grupo) of the distinct titles, grouped by the office they name.
 
-    A title is blocked by the phonetic codes of its full words in order of the
-    alphabet; words are read with Jaro-Winkler against the words of titles, and
-    spellings of a block with equal offices are linked. Distinct offices that hold
-    words outside the list are compared word by word with those of the same listed
-    words and like codes of the others. Null and blank titles take no part."""
+    Titles are read into offices (words in full, in order of the alphabet); distinct
+    offices are blocked by the phonetic codes of their words, compared word by word with
+    Jaro-Winkler, and accepted pairs are clustered by connected components. A short form
+    of several meanings is read as the only one of them that the titles spell out, else it
+    is an office of its own. Null and blank titles take no part."""
     s = df.filter(F.trim(title) != "").select(F.col(title).alias("t")).distinct()
+    s = cut_lineage(s)  # one row per spelling, read twice
+
+    def read(sure: frozenset[str]):
+        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                yield pd.DataFrame({"t": pdf["t"].to_numpy(), "o": [office(t, sure) for t in pdf["t"]]})
+
+        return each
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            o = [office(t) for t in pdf["t"]]
-            yield pd.DataFrame({"t": pdf["t"].to_numpy(), "o": o, "k": [" ".join(phonetic(w) for w in x.split()) for x in o], "u": [office_block(x) for x in o]})
+            keys = [office_keys(o) for o in pdf["o"]]
+            yield pd.DataFrame({"o": pdf["o"].repeat([len(k) for k in keys]).to_numpy(), "k": [x for k in keys for x in k]})
 
     def same(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pdf.loc[[same_office(a, b) for a, b in zip(pdf["o"], pdf["p"], strict=True)], ["t", "root"]]
-
-    read_ = s.mapInPandas(read, "t string, o string, k string, u string").filter("o <> ''")
-    low = read_.groupBy("k", "o", "u").agg(F.min("t").alias("root"))
-    edges = read_.join(low.drop("u"), ["k", "o"]).select(F.xxhash64("t").alias("a"), F.xxhash64("root").alias("b"), "t")
-    edges = edges.persist()
-    open_ = low.filter("u <> ''")
-    near = open_.select("u", "o", F.col("root").alias("t")).join(open_.select("u", F.col("o").alias("p"), "root"), "u").filter("o < p").mapInPandas(same, "t string, root string")
-    groups = connected_components(edges.select("a", "b").unionByName(near.select(F.xxhash64("t").alias("a"), F.xxhash64("root").alias("b"))))
-    return edges.join(groups, F.col("a") == F.col("id")).select(F.col("t").alias(title), F.col("component").alias("grupo"))
+            yield pdf.loc[[same_office(a, b) for a, b in zip(pdf["o"], pdf["p"], strict=True)], ["o", "p"]]
+
+    unsure = {" ".join(sorted(("chief", x, "officer"))): f"chief {x} officer" for xs in TITLE_UNSURE.values() for x in xs.split()}
+    told = s.mapInPandas(read(frozenset()), "t string, o string")
+    sure = frozenset(unsure[r["o"]] for r in told.filter(F.col("o").isin(*unsure)).select("o").distinct().collect())  # no more than the table has
+    offices = cut_lineage(s.mapInPandas(read(sure), "t string, o string").filter("o <> ''"))
+    blocks = cut_lineage(offices.select("o").distinct().mapInPandas(keyed, "o string, k string"))  # both sides of the join
+    pairs = blocks.join(blocks.select(F.col("o").alias("p"), "k"), "k").filter("o < p").select("o", "p").distinct().mapInPandas(same, "o string, p string")
+    groups = connected_components(pairs.select(F.xxhash64("o").alias("a"), F.xxhash64("p").alias("b")))
+    j = offices.join(groups, F.xxhash64("o") == F.col("id"), "left")
+    return j.select(F.col("t").alias(title), F.coalesce("component", F.xxhash64("o")).alias("grupo"))
 
 
 def pairs_of(groups: DataFrame, by: list[str], text: str) -> DataFrame:

@@ -43,6 +43,14 @@ def p5_grupos(spark: SparkSession, d: str) -> DataFrame:
     return people.unionByName(offices).groupBy("campo", "grupo").agg(F.count(F.lit(1)).alias("grafias")).groupBy("campo", "grafias").agg(F.count(F.lit(1)).alias("grupos"))
 
 
+def p5_miembros(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with the group it belongs to, per field."""
+    tx = table(spark, d, "insider_transactions")
+    people = names.name_variants(tx, "empresa_id", "nombre_insider").select(F.lit("nombre_insider").alias("campo"), "empresa_id", F.col("nombre_insider").alias("texto"), "grupo")
+    offices = names.title_variants(tx, "cargo").select(F.lit("cargo").alias("campo"), F.lit(0).alias("empresa_id"), F.col("cargo").alias("texto"), "grupo")
+    return people.unionByName(offices)
+
+
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.select("doc_id", "source", tokens.token_count("text").alias("tokens"))
@@ -106,6 +114,7 @@ QUERIES = {
     "p3_casos": p3_casos,
     "p5_found": p5_found,
     "p5_grupos": p5_grupos,
+    "p5_miembros": p5_miembros,
     "p6_cajas": p6_cajas,
     "p6_llenado": p6_llenado,
     "p7_seleccion": p7_seleccion,
