@@ -8,7 +8,6 @@ and for values that cannot exist complete the flags.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +15,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Robust scale of the normal distribution: sigma = 1.4826 * MAD.
-MAD_SIGMA = 1.4826
+from ..session import cut_lineage
+from .series import medians
+
+#: Share of the readings of a series above its threshold.
+TAIL = 0.2
+#: Restated quarters from which their usual difference is known.
+VERSIONS = 20
+#: Readings that level, trend and season of a series use up.
+SPENT = 3.0
+#: Risk of a normal reading to be taken for a spike.
+RISK = 4e-3
+#: 80 % quantile over the median of an absolute normal deviate.
+NORMAL_80 = 1.9
 
 
 def _median(rows: np.ndarray) -> np.ndarray:
@@ -128,12 +138,29 @@ def _short(y: np.ndarray) -> tuple[np.ndarray, float]:
     return r, max(float(np.median(np.abs(r))), 0.1)
 
 
-#: What the model says of one reading: expected log level, threshold, median and own
-#: exceedance over it in thresholds, readings of the series, rules, one-sidedness.
-MODEL = {"esperado": "double", "u0": "double", "exceso": "double", "w": "double", "n": "int", "positivo": "boolean", "congelado": "double", "lado": "boolean"}
+#: What the model says of one reading: expected log level; of its series the threshold,
+#: the number of readings, of exceedances and their two moments; rules, one-sidedness.
+MODEL = {"esperado": "double", "u0": "double", "n": "int", "k": "int", "m2": "double", "m3": "double", "positivo": "boolean", "congelado": "double", "lado": "boolean"}
+#: Exceedances, in thresholds, beyond which a fit takes no notice of how far they are.
+BOUND = 1.0
+
+
+def _moments(e: np.ndarray, bound: float = BOUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number, mean least of two, mean least of three) of the exceedances in each row.
+
+    These probability-weighted moments exist for any shape below 2 and one far value
+    hardly moves them."""
+    s = np.sort(np.where(e > 0, np.minimum(e, bound), np.nan), axis=1)
+    k = (~np.isnan(s)).sum(axis=1)
+    i = np.arange(1, s.shape[1] + 1)
+    left = np.maximum(k[:, None] - i, 0)
+    v = np.nan_to_num(s)
+    m2 = np.where(k >= 2, (v * left).sum(axis=1) * 2 / np.maximum(k * (k - 1), 1), np.nan)
+    m3 = np.where(k >= 3, (v * left * np.maximum(left - 1, 0)).sum(axis=1) * 3 / np.maximum(k * (k - 1) * (k - 2), 1), np.nan)
+    return k, m2, m3
 
 
-def _model(ent: np.ndarray, q: np.ndarray, v: np.ndarray, min_run: int) -> dict[str, np.ndarray]:
+def _model(ent: np.ndarray, q: np.ndarray, v: np.ndarray, min_run: int, bound: float = BOUND) -> dict[str, np.ndarray]:
     """Expected log level, tail threshold and rules for readings sorted by entity and
     quarter, all series of one field at a time."""
     start = np.flatnonzero(np.r_[True, ent[1:] != ent[:-1]])
@@ -149,8 +176,8 @@ def _model(ent: np.ndarray, q: np.ndarray, v: np.ndarray, min_run: int) -> dict[
     frozen = np.where((length >= min_run) & ~first & (v != 0), v, np.nan)
     # residuals of the non-zero ones, one row per series
     nz = np.flatnonzero(v != 0)
-    esperado, w, lado = np.full(len(v), np.nan), np.full(len(v), np.nan), np.ones(len(v), bool)
-    u0, exceso = np.full(len(start), np.nan), np.full(len(start), np.nan)
+    esperado, lado = np.full(len(v), np.nan), np.ones(len(v), bool)
+    u0, m2, m3, over = np.full(len(start), np.nan), np.full(len(start), np.nan), np.full(len(start), np.nan), np.zeros(len(start), int)
     if len(nz):
         row = series[nz]
         head = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
@@ -165,19 +192,17 @@ def _model(ent: np.ndarray, q: np.ndarray, v: np.ndarray, min_run: int) -> dict[
             r[i, : k[i]], scale[i] = _short(y[i, : k[i]])
         esperado[nz], lado[nz] = (y - r)[line, col], one[line, col]
         u0[row[head]] = scale
-        e = np.abs(r) / scale[:, None] - 1
-        w[nz] = e[line, col]
-        exceso[row[head]] = _median(np.where(e > 0, e, np.nan))
-    return {"esperado": esperado, "u0": u0[series], "exceso": exceso[series], "w": w, "n": size[series], "positivo": always[series], "congelado": frozen, "lado": lado}
+        over[row[head]], m2[row[head]], m3[row[head]] = _moments(np.abs(r) / scale[:, None] - 1, bound)
+    return {"esperado": esperado, "u0": u0[series], "n": size[series], "k": over[series], "m2": m2[series], "m3": m3[series], "positivo": always[series], "congelado": frozen, "lado": lado}
 
 
-def _modeller(fields: list[str], min_run: int, batch: int = 2_000):
+def _modeller(fields: list[str], min_run: int, bound: float, batch: int = 2_000):
     def model(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = {"__e": pdf["__e"].to_numpy(), "q": pdf["q"].to_numpy(int)}
+            out = {"__e": pdf["__e"].to_numpy(), "q": pdf["q"].to_numpy(int)} | {f"d_{i}": pdf[f"d_{i}"].to_numpy(float) for i in range(len(fields))}
             for i, f in enumerate(fields):
                 has = pdf[f].notna().to_numpy()
-                got = _model(out["__e"][has], out["q"][has], pdf[f].to_numpy(float)[has], min_run) if has.any() else {}
+                got = _model(out["__e"][has], out["q"][has], pdf[f].to_numpy(float)[has], min_run, bound) if has.any() else {}
                 for k, kind in MODEL.items():
                     col = np.full(len(pdf), np.nan) if kind == "double" else np.zeros(len(pdf), int if kind == "int" else bool)
                     if got:
@@ -201,33 +226,41 @@ def _modeller(fields: list[str], min_run: int, batch: int = 2_000):
     return model
 
 
-def _shape(ratio: float, low: float = 1e-3, high: float = 1.0) -> float:
-    """GPD shape whose 85 % and 50 % quantiles have this ratio."""
-    for _ in range(60):
-        k = (low + high) / 2
-        low, high = (k, high) if ((1 / 0.15) ** k - 1) / (2**k - 1) < ratio else (low, k)
-    return (low + high) / 2
-
-
 def _cutoffs(model: DataFrame, fields: list[str], risk: float, prior: float, edge: float) -> list[Column]:
-    """Cutoff on |residual| for each field: GPD with the field's shape and a scale
-    between the series' own and the field's. Only two numbers per field come to
-    the driver."""
-    q = model.agg(*[F.percentile_approx(F.when(F.col(f"w_{i}") > 0, F.col(f"w_{i}")), [0.5, 0.85], 1000).alias(f"q{i}") for i in range(len(fields))]).first()
+    """Cutoff on |residual| in thresholds for each field: a generalised Pareto tail fitted to
+    each series' own exceedances.
+
+    The moments of a series count as many times as it has exceedances, those of its field
+    ``prior`` times; shape and scale follow from the mixed moments. Three sums per field
+    come to the driver."""
+    own = lambda i, c: F.when(F.col(f"k_{i}") >= 3, F.col(f"{c}_{i}"))
+    share = lambda i: F.when(F.col(f"k_{i}") >= 3, F.col(f"k_{i}") / F.col(f"n_{i}"))  # noqa: E731  # of a series its readings together
+    q = model.agg(*[x for i in range(len(fields)) for x in (F.sum(own(i, "m2") * share(i)).alias(f"a{i}"), F.sum(own(i, "m3") * share(i)).alias(f"b{i}"), F.sum(share(i)).alias(f"c{i}"))]).first()
     out = []
     for i in range(len(fields)):
-        q50, q85 = q[f"q{i}"] or (0.4, 1.4)
-        q50 = max(q50, 1e-6)
-        xi = _shape(max(q85, q50) / q50)
-        beta = q50 * xi / (2**xi - 1)
-        own = F.coalesce(F.col(f"exceso_{i}"), F.lit(q50)) * (xi / (2**xi - 1))
-        k = F.greatest(F.lit(1.0), F.col(f"n_{i}") * 0.2)
-        scale = (own * k + F.lit(beta * prior)) / (k + prior)
-        cut = F.col(f"u0_{i}") * (1 + scale * ((math.pow(risk / 0.2, -xi) - 1) / xi))
-        out.append(cut * F.when(F.col(f"lado_{i}"), edge).otherwise(1.0))
+        many = q[f"c{i}"] or 0.0
+        f2, f3 = (q[f"a{i}"] / many, q[f"b{i}"] / many) if many else (0.5, 1 / 3)  # no series of the field has a tail: an exponential one
+        k = F.when(F.col(f"k_{i}") >= 3, F.col(f"k_{i}")).otherwise(0)
+        mix = lambda c, f: (F.coalesce(own(i, c), F.lit(0.0)) * k + F.lit(f * prior)) / (k + prior)  # noqa: B023, E731
+        m2, m3 = mix("m2", f2), mix("m3", f3)
+        ratio = F.least(F.greatest(m2 / m3, F.lit(1.5003)), F.lit(2.0))  # shapes from 0 to 1
+        xi = (2 * ratio - 3) / (ratio - 1)
+        scale = m2 * (2 - xi)
+        few = F.sqrt(F.col(f"n_{i}") / F.greatest(F.col(f"n_{i}") - SPENT, F.lit(1.0)))
+        out.append(few * (1 + scale * (F.pow(F.lit(risk / TAIL), -xi) - 1) / xi) * F.when(F.col(f"lado_{i}"), edge).otherwise(1.0))
     return out
 
 
+def _position(df: DataFrame, published: str, row_id: str) -> Column:
+    """Order of publication, the id deciding, as one number that a hash aggregate can hold;
+    as a struct where the types don't allow it."""
+    kinds = df.schema[published].dataType.simpleString(), df.schema[row_id].dataType.simpleString()
+    if kinds[0] != "date" or kinds[1] not in ("int", "bigint"):
+        return F.struct(F.col(published).isNull(), F.col(published), F.col(row_id))
+    day = F.coalesce(F.unix_date(published).cast("long"), F.lit(80_000_000)) + 10_000_000
+    return day.cast("decimal(9,0)") * F.lit("1" + "0" * 20).cast("decimal(21,0)") + F.col(row_id).cast("decimal(20,0)")
+
+
 def flag_implausible(
     df: DataFrame,
     entity: str = "empresa_id",
@@ -239,11 +272,11 @@ def flag_implausible(
     positive: tuple[str, ...] = ("revenue",),
     strictly_positive: tuple[str, ...] = ("shares_outstanding",),
     bounded: tuple[tuple[str, str], ...] = (("gross_profit", "revenue"),),
-    risk: float = 8e-3,
-    min_change: float = 0.45,
+    risk: float = RISK,
+    min_change: float = 0.0,
     min_run: int = 4,
-    prior: float = 20.0,
-    edge: float = 1.5,
+    prior: float = 10.0,
+    edge: float = 1.8,
 ) -> DataFrame:
     """One row (row_id, campo, motivo) per reading that cannot be right.
 
@@ -251,9 +284,12 @@ def flag_implausible(
     zero or less where ``strictly_positive``, above a sound bound of its row),
     ``congelado`` (the second and later of ``min_run`` equal non-zero readings),
     ``signo`` (negative in a series that is otherwise positive) and ``pico``
-    (residual beyond the fitted cutoff and a change of at least ``min_change``
-    in logarithms). The cutoff is ``edge`` times as high where readings stand on
-    one side only, as at the ends of a series.
+    (residual beyond the cutoff, and a change of at least ``min_change`` in
+    logarithms). The cutoff is the level that a normal reading exceeds with ``risk``
+    under the tail fitted to the series' own exceedances; it is ``edge`` times as high
+    where readings stand on one side only, as at the ends of a series. The usual
+    difference between versions of a quarter, the precision a field is reported with,
+    adds to the scatter of every series of that field.
 
     A series is modelled on the first published reading of each quarter, so
     repeated rows and restatements neither widen nor hide it; every row is then
@@ -274,31 +310,37 @@ def flag_implausible(
         F.col(published).alias("__p"),
         *[F.col(f).cast("double").alias(f) for f in dict.fromkeys([*fs, *(b for _, b in bounded)])],
     )
-    order = F.struct(F.col("__p").isNull(), F.col("__p"), F.col("__id"))
+    place = _position(rows, "__p", "__id")
+    spread = lambda f: F.log(F.max(F.when(F.col(f) > 0, F.col(f))) / F.min(F.when(F.col(f) > 0, F.col(f))))
     first = (
         rows.filter(F.col("__e").isNotNull() & F.col("q").isNotNull())
+        .withColumn("place", place)
         .groupBy("__e", "q")
-        .agg(*[F.min(F.when(F.col(f).isNotNull(), F.struct(order.alias("o"), F.col(f).alias("v"))))["v"].alias(f) for f in fs])
+        .agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col("place"))).alias(f) for f in fs], *[F.nullif(spread(f), F.lit(0.0)).alias(f"d_{i}") for i, f in enumerate(fs)])
     )
     kind = df.schema[entity].dataType.simpleString()
     cols = [(f"{k}_{i}", t) for i in range(len(fs)) for k, t in MODEL.items()]
-    ddl = f"__e {kind}, q int, " + ", ".join(f"{c} {t}" for c, t in cols)
-    model = first.repartition("__e").sortWithinPartitions("__e", "q").mapInPandas(_modeller(fs, min_run), ddl)
-    model = model.select("__e", "q", *[F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in cols])
-    model = model.persist()  # used for the pooled tail and then for the rows; one row per entity and quarter
+    kept = [(f"d_{i}", "double") for i in range(len(fs))]
+    ddl = f"__e {kind}, q int, " + ", ".join(f"{c} {t}" for c, t in [*kept, *cols])
+    model = first.repartition("__e").sortWithinPartitions("__e", "q").mapInPandas(_modeller(fs, min_run, BOUND), ddl)
+    model = model.select("__e", "q", *[F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in [*kept, *cols]])
+    model = cut_lineage(model)  # used for the pooled tail and then for the rows; one row per entity and quarter
     cuts = _cutoffs(model, fs, risk, prior, edge)
-    wide = model.select("__e", "q", *[F.struct(F.col(f"esperado_{i}").alias("esperado"), cuts[i].alias("corte"), F.col(f"positivo_{i}").alias("positivo"), F.col(f"congelado_{i}").alias("congelado")).alias(f"m_{f}") for i, f in enumerate(fs)])
+    apart = model.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"d_{i}").alias("d")) for i in range(len(fs))])).alias("x")).select("x.i", "x.d")
+    usual = {r["i"]: NORMAL_80 * (r["bajo"] + r["alto"]) / 2 for r in medians(apart, ["i"], "d").collect() if r["n"] >= VERSIONS}  # one per field
+    wide = model.select("__e", "q", *[F.struct(F.col(f"esperado_{i}").alias("esperado"), F.col(f"u0_{i}").alias("u0"), cuts[i].alias("corte"), F.col(f"positivo_{i}").alias("positivo"), F.col(f"congelado_{i}").alias("congelado")).alias(f"m_{f}") for i, f in enumerate(fs)])
     j = rows.join(wide, ["__e", "q"], "left")
 
     def own(f: str) -> Column:
         v, m = F.col(f), F.col(f"m_{f}")
         resid = F.abs(F.log(F.abs(v)) - m["esperado"])
+        cut = F.sqrt(m["u0"] * m["u0"] + F.lit(usual.get(fs.index(f), 0.0) ** 2)) * m["corte"]
         rule = F.when(v.isNull(), None)
         if f in positive:
             rule = rule.when(v < 0, "imposible")
         if f in strictly_positive:
             rule = rule.when(v <= 0, "imposible")
-        return rule.when(v == m["congelado"], "congelado").when((v < 0) & m["positivo"], "signo").when((v != 0) & (resid > m["corte"]) & (resid >= min_change), "pico")
+        return rule.when(v == m["congelado"], "congelado").when((v < 0) & m["positivo"], "signo").when((v != 0) & (resid > cut) & (resid >= min_change), "pico")
 
     reasons = {f: own(f) for f in fs}
     for f, b in bounded:  # a bound counts only where the bounding reading is itself sound

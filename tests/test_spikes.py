@@ -1,3 +1,7 @@
+import itertools
+import math
+import random
+
 import datetime as dt
 
 import numpy as np
@@ -108,7 +112,32 @@ def test_hot_entity_with_many_repeats(spark):
     assert found(spark, data) == {(1000 * k + 10, "revenue", "pico") for k in range(40)}
 
 
-@pytest.mark.parametrize("ratio", [1.2, 3.0, 10.0])
-def test_shape_inverts_the_quantile_ratio(ratio):
-    k = spikes._shape(((1 / 0.15) ** 0.3 - 1) / (2**0.3 - 1)) if ratio == 3.0 else spikes._shape(ratio)
-    assert 0 < k <= 1 and (ratio != 3.0 or abs(k - 0.3) < 1e-6)
+@pytest.mark.parametrize("xi", [0.01, 0.3, 0.7])
+def test_moments_give_back_shape_and_scale(xi):
+    g = np.random.default_rng(4)
+    e = 0.8 * (g.random((1, 200_000)) ** -xi - 1) / xi
+    k, m2, m3 = spikes._moments(e, bound=np.inf)
+    ratio = m2[0] / m3[0]
+    got = (2 * ratio - 3) / (ratio - 1)
+    assert k[0] == e.size and abs(got - xi) < 0.05 and abs(m2[0] * (2 - got) - 0.8) < 0.03
+
+
+def test_moments_against_all_pairs_and_triples():
+    e = np.array([0.4, np.nan, -1.0, 0.9, 0.1, 7.0, 0.3])
+    v = [min(x, 1.0) for x in (0.4, 0.9, 0.1, 7.0, 0.3)]
+    k, m2, m3 = spikes._moments(e[None, :], bound=1.0)
+    assert k[0] == 5 and np.isclose(m2[0], np.mean([min(p) for p in itertools.combinations(v, 2)])) and np.isclose(m3[0], np.mean([min(p) for p in itertools.combinations(v, 3)]))
+
+
+def test_each_source_has_its_own_tail(spark):
+    """The same jump is a spike in a calm series and none in a series with long tails."""
+    r = random.Random(9)
+    calm_, wild = [], []
+    for i in range(40):
+        calm_.append(1000 * (1 + 0.02 * r.uniform(-1, 1)))
+        wild.append(1000 * math.exp(r.gauss(0, 0.12) * (3 if i % 5 == 0 else 1)))
+    calm_[20] = wild[20] = 1550
+    data = rows(1, [round(x) for x in calm_])
+    data += [(100 + t[0], 2, *t[2:]) for t in rows(2, [round(x) for x in wild])]
+    got = {(i, f) for i, f, m in found(spark, data) if m == "pico" and f == "revenue"}
+    assert (21, "revenue") in got and not any(i > 100 for i, _ in got)
