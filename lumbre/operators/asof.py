@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import left_join
+
 
 def asof(
     left: DataFrame,
@@ -49,7 +51,29 @@ def asof(
         got = got.filter(F.col("__d") - F.col("r.rd") <= tolerance)
     got = got.select("__k", "__d", *[F.col(f"r.{v}").alias(prefix + v) for v in values])
     keyed = left.withColumn("__k", F.col(key)).withColumn("__d", num(left, left_day) * sign)
-    return keyed.join(got, ["__k", "__d"], "left").drop("__k", "__d")
+    return left_join(keyed, got, ["__k", "__d"]).drop("__k", "__d")
+
+
+def lookups(asked: DataFrame, right: DataFrame, key: str | None, asked_day: str, right_day: str, value: str, frames: dict[str, tuple[str, int | None, int | None]]) -> DataFrame:
+    """(key, day, <name>...) of every different key and day asked, with several look-ups in
+    one pass. ``frames`` names each as (pick, from, to): ``first`` or ``last`` value, or
+    ``max``, ``min`` or ``count``, among the days [day + from, day + to]; None is no bound.
+
+    Right rows of a day count once, by their greatest value. A window holds one row per
+    key and day of either side, so the calendar bounds what a hot key brings to a task;
+    no pairs are built. Null keys, days and values take no part; without a key (None)
+    there is one line of days."""
+    k = [key] if key else []
+    r = right.filter(F.col(value).isNotNull() & F.col(right_day).isNotNull()).groupBy(*k, F.unix_date(right_day).alias("__d")).agg(F.max(value).alias("v")).withColumn("ask", F.lit(False))
+    q = asked.filter(F.col(asked_day).isNotNull()).select(*k, F.unix_date(asked_day).alias("__d")).distinct().withColumn("v", F.lit(None).cast(r.schema["v"].dataType)).withColumn("ask", F.lit(True))
+    line = r.unionByName(q)
+    if key:
+        line = line.filter(F.col(key).isNotNull())
+    w = Window.partitionBy(*k or [F.lit(1)]).orderBy("__d")
+    edge = lambda n, none: none if n is None else n
+    picks = {"first": lambda: F.first("v", ignorenulls=True), "last": lambda: F.last("v", ignorenulls=True), "max": lambda: F.max("v"), "min": lambda: F.min("v"), "count": lambda: F.count("v")}
+    out = [picks[p]().over(w.rangeBetween(edge(a, Window.unboundedPreceding), edge(b, Window.unboundedFollowing))).alias(n) for n, (p, a, b) in frames.items()]
+    return line.select(*k, "__d", "ask", *out).filter("ask").select(*k, F.date_from_unix_date("__d").alias(asked_day), *frames)
 
 
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_day: str, right_day: str, before: int, after: int, right_values: list[str], prefix: str = "", width: int | None = None) -> DataFrame:

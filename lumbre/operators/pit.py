@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage, left_join
+
 
 def _dated(df: DataFrame, col: str) -> None:
     if not isinstance(df.schema[col].dataType, T.DateType):
@@ -69,12 +71,13 @@ def as_known(
     line = line.withColumn("best", F.max("r").over(run))
     line = line.withColumn("changed", (F.col("kind") == 0) & ~F.lag("best").over(w).eqNullSafe(F.col("best")))
     line = line.withColumn("version", F.sum(F.col("changed").cast("int")).over(run))
+    line = cut_lineage(line.filter("kind = 1 or changed").select("__e", "__d", "kind", "changed", "version", "best"))  # read for the events and for the versions
     timed = line.filter("kind = 1").select("__e", "__d", F.col("version").alias("__v"))
     versions = line.filter("changed").select("__e", F.col("version").alias("__v"), (-F.col("best.neg_id")).alias("__id"))
     wide = attrs.select(F.col(row_id).alias("__id"), F.col(attr_entity).alias("__e"), *[F.col(k).alias(prefix + k) for k in keep])
     wide = versions.join(wide, ["__e", "__id"]).drop("__id")
     ev = events.withColumn("__e", F.col(event_entity)).withColumn("__d", F.col(event_date))
-    return ev.join(timed, ["__e", "__d"], "left").join(wide, ["__e", "__v"], "left").drop("__e", "__d", "__v")
+    return left_join(left_join(ev, timed, ["__e", "__d"]), wide, ["__e", "__v"]).drop("__e", "__d", "__v")
 
 
 def with_entity(cases: DataFrame, entities: DataFrame, entity: str = "empresa_id", ticker: str = "ticker", entity_id: str = "id", entity_ticker: str = "ticker") -> DataFrame:

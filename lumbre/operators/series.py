@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def last_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rn") -> DataFrame:
     """The first ``k`` rows of each group by ``order``, with their rank from 1."""
@@ -71,24 +73,22 @@ def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def systematic_sample(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """Rows floor(i * size / n), i = 0 .. n-1, in ``order``: a sampling operator.
 
-    Positions come from a range sort and counts per partition, not from one
-    window over everything; ``order`` must be total."""
+    Only the order columns are sorted by range and kept, with their place in the
+    partition; counts per partition (one row each) give the places overall, and the
+    few picked ones meet the table again. ``order`` must be total and free of nulls;
+    an empty table gives no rows."""
     spark = df.sparkSession
-    cols = df.columns
-    s = df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    s = s.persist()
-    sizes = {r["__p"]: r["n"] for r in s.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per partition
-    total = sum(sizes.values())
-    if not total:
-        return s.select(*cols)
-    start, at = {}, 0
-    for p in sorted(sizes):
-        start[p] = at
-        at += sizes[p]
-    offs = F.element_at(F.create_map(*[F.lit(x) for p, o in start.items() for x in (p, o)]), F.col("__p"))
-    picks = spark.range(n).select(F.floor(F.col("id") * total / n).cast("long").alias("__pos")).distinct()
-    pos = (F.col("__i").bitwiseAND(F.lit((1 << 33) - 1)) + offs).cast("long")
-    return s.withColumn("__pos", pos).join(picks, "__pos").select(*cols)
+    names = [f"__o{i}" for i in range(len(order))]
+    keys = df.select(*[c.alias(x) for c, x in zip(order, names, strict=True)]).orderBy(*names)
+    keys = cut_lineage(keys.select(*names, F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__i")))
+    sizes = keys.groupBy("__p").agg(F.count(F.lit(1)).alias("c"))
+    line = Window.orderBy("__p")  # one row per partition
+    starts = sizes.select("__p", F.coalesce(F.sum("c").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    total = keys.count()
+    picks = spark.range(n).select(F.floor(F.col("id") * F.lit(total) / n).cast("long").alias("__pos")).distinct()
+    placed = keys.join(starts, "__p").select(*names, (F.col("start") + F.col("__i")).alias("__pos")).join(picks, "__pos").drop("__pos")
+    wide = df.select("*", *[c.alias(x) for c, x in zip(order, names, strict=True)])
+    return wide.join(placed, names).select(*df.columns)
 
 
 def missing_since(left: DataFrame, right: DataFrame, key: str, right_key: str, right_day: str, day: Column) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, left_join
 from .series import medians
 
 #: Share of the readings of a series above its threshold.
@@ -329,7 +329,7 @@ def flag_implausible(
     apart = model.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"d_{i}").alias("d")) for i in range(len(fs))])).alias("x")).select("x.i", "x.d")
     usual = {r["i"]: NORMAL_80 * (r["bajo"] + r["alto"]) / 2 for r in medians(apart, ["i"], "d").collect() if r["n"] >= VERSIONS}  # one per field
     wide = model.select("__e", "q", *[F.struct(F.col(f"esperado_{i}").alias("esperado"), F.col(f"u0_{i}").alias("u0"), cuts[i].alias("corte"), F.col(f"positivo_{i}").alias("positivo"), F.col(f"congelado_{i}").alias("congelado")).alias(f"m_{f}") for i, f in enumerate(fs)])
-    j = rows.join(wide, ["__e", "q"], "left")
+    j = left_join(rows, wide, ["__e", "q"])
 
     def own(f: str) -> Column:
         v, m = F.col(f), F.col(f"m_{f}")

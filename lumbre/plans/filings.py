@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, quality, register, text
 from ..operators import asof as joins
 from ..operators import cluster, pit, series, upsert
-from ..session import table
+from ..session import left_join, table
 from ..sources import market, sinks
 
 DAY = "yyyy-MM-dd"
@@ -294,16 +294,21 @@ def u4_parameters(s, d):
 # Returns --------------------------------------------------------------------
 
 
-def _exit(s, d, entry_days, days, forward, stale):
-    p = _prices(s, d)
+def _returns(s, d, entry_days, days, exit_):
+    """Purchases with the values at their entry (the first from ``entry_days`` after them, at
+    most 11 days later) and exit (``days`` after that, looked up as ``exit_`` says)."""
     a = _asks(s, d).withColumn("d1", F.date_add("d0", entry_days)).withColumn("d2", F.date_add("d1", days))
-    a = joins.asof(a, p, "user_id", "d1", "dia", ["cierre"], forward=True, tolerance=11, prefix="in_")
-    return joins.asof(a, p, "user_id", "d2", "dia", ["cierre"], forward=forward, tolerance=stale, prefix="out_")
+    p = _prices(s, d)
+    both = a.select("user_id", F.explode(F.array("d1", "d2")).alias("day"))
+    got = joins.lookups(both, p, "user_id", "day", "dia", "cierre", {"entra": ("first", 0, 11), "sale": exit_})
+    one = got.select("user_id", F.col("day").alias("d1"), F.col("entra").alias("in_cierre"))
+    two = got.select("user_id", F.col("day").alias("d2"), F.col("sale").alias("out_cierre"))
+    return left_join(left_join(a, one, ["user_id", "d1"]), two, ["user_id", "d2"])
 
 
 def f24_returns(s, d):
     """Entry at the first price from day 5, exit at the first from day 10 after it."""
-    r = _exit(s, d, 5, 10, True, 11)
+    r = _returns(s, d, 5, 10, ("first", 0, 11))
     ok = (F.col("in_cierre") > 0) & (F.col("out_cierre") > 0)
     return r.select("event_id", F.when(ok, F.round((F.col("out_cierre") - F.col("in_cierre")) / F.col("in_cierre"), 6)).alias("retorno"))
 
@@ -311,25 +316,25 @@ def f24_returns(s, d):
 def f26_excess(s, d):
     """Entry from day 7, exit at the last price up to day 12 after it, at most 5 days
     stale; the excess is over the mean of all users on the same days."""
-    r = _exit(s, d, 7, 12, False, 5)
-    r = r.withColumn("ret", F.col("out_cierre") / F.col("in_cierre") - 1)
+    r = _returns(s, d, 7, 12, ("last", -5, 0)).withColumn("ret", F.col("out_cierre") / F.col("in_cierre") - 1)
     m = table(s, d, "events").groupBy(F.to_date("ts").alias("dia")).agg(F.round(F.avg(F.col("value").cast("decimal(18,4)")), 4).cast("double").alias("media"))
-    days = r.select("d1", "d2").distinct().withColumn("k", F.lit(1))  # the benchmark is looked up once per pair of days
-    m = m.withColumn("k", F.lit(1))
-    b = joins.asof(days, m, "k", "d1", "dia", ["media"], forward=True, tolerance=11, prefix="in_")
-    b = joins.asof(b, m, "k", "d2", "dia", ["media"], tolerance=5, prefix="out_").select("d1", "d2", (F.col("out_media") / F.col("in_media") - 1).alias("ref"))
-    return r.join(b, ["d1", "d2"], "left").select("event_id", F.round("ret", 6).alias("retorno"), F.round(F.col("ret") - F.col("ref"), 6).alias("exceso"))
+    days = _asks(s, d).select("d0").distinct()
+    days = days.select(F.explode(F.array(F.date_add("d0", 7), F.date_add("d0", 19))).alias("day"))
+    b = joins.lookups(days, m, None, "day", "dia", "media", {"entra": ("first", 0, 11), "sale": ("last", -5, 0)})
+    r = left_join(r, b.select(F.col("day").alias("d1"), F.col("entra").alias("in_media")), ["d1"])
+    r = left_join(r, b.select(F.col("day").alias("d2"), F.col("sale").alias("out_media")), ["d2"])
+    ref = F.col("out_media") / F.col("in_media") - 1
+    return r.select("event_id", F.round("ret", 6).alias("retorno"), F.round(F.col("ret") - ref, 6).alias("exceso"))
 
 
 def w8_peaks(s, d):
     """Highest later price over the price at each purchase, and its place in the range of 14 days."""
-    a = joins.asof(_asks(s, d), _prices(s, d), "user_id", "d0", "dia", ["cierre"], forward=True, prefix="base_")
-    j = joins.interval_join(a.filter("base_cierre > 0"), _prices(s, d), "user_id", "d0", "dia", 14, 400, ["cierre", "dia"], prefix="p_", width=60)
-    later = F.when(F.col("p_dia") >= F.col("d0"), F.col("p_cierre"))
-    before = F.when(F.col("p_dia") <= F.col("d0"), F.col("p_cierre"))
-    g = j.groupBy("event_id", "base_cierre").agg(F.max(later).alias("top"), F.min(before).alias("lo"), F.max(before).alias("hi"), F.count(before).alias("n"))
-    place = F.when((F.col("n") >= 5) & (F.col("hi") > F.col("lo")), F.round((F.col("base_cierre") - F.col("lo")) / (F.col("hi") - F.col("lo")), 2))
-    return g.select("event_id", F.round(F.col("top") / F.col("base_cierre"), 1).alias("multiplo"), place.alias("posicion"))
+    a = _asks(s, d)
+    got = joins.lookups(a, _prices(s, d), "user_id", "d0", "dia", "cierre", {"base": ("first", 0, None), "top": ("max", 0, 400), "lo": ("min", -14, 0), "hi": ("max", -14, 0), "n": ("count", -14, 0)})
+    # a purchase with no price within reach, before or after, has no row
+    g = a.join(got.filter((F.col("base") > 0) & (F.col("top").isNotNull() | (F.col("n") > 0))), ["user_id", "d0"])
+    place = F.when((F.col("n") >= 5) & (F.col("hi") > F.col("lo")), F.round((F.col("base") - F.col("lo")) / (F.col("hi") - F.col("lo")), 2))
+    return g.select("event_id", F.round(F.col("top") / F.col("base"), 1).alias("multiplo"), place.alias("posicion"))
 
 
 # Values and texts -----------------------------------------------------------
