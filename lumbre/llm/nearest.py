@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import left_join
+
+#: Rows of both sides for which there is one Arrow group.
+GROUP_ROWS = 50_000
+
 _SQL = """
 WITH b AS (SELECT l.e, l.b, l.d, r.d AS rd, r.id FROM l ASOF JOIN r ON l.e = r.e AND l.b = r.b AND l.d >= r.d),
      f AS (SELECT l.e, l.b, l.d, r.d AS rd, r.id FROM l ASOF JOIN r ON l.e = r.e AND l.b = r.b AND l.d <= r.d),
@@ -54,7 +61,8 @@ def nearest_in_time(
 
     Of two equally near dates the earlier wins, of several rows of a date the
     lowest id. Both sides are first reduced to one row per entity and day, then
-    hashed by entity and time block into Arrow groups, in each of which DuckDB
+    hashed by entity and time block into Arrow groups (as many as the rows need, see
+    ``GROUP_ROWS``), in each of which DuckDB
     joins backward and forward. A right row goes to every block within the
     tolerance, so the blocks of a hot entity are matched apart from each other
     and none holds more than its days.
@@ -69,7 +77,7 @@ def nearest_in_time(
             raise TypeError(f"{c} must be a date")
     spark = left.sparkSession
     width = block_days or max(4 * tolerance, 1)
-    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((left.count() + right.count()) / GROUP_ROWS))
     lk = left.filter(F.col(left_entity).isNotNull() & F.col(left_date).isNotNull()).select(F.col(left_entity).cast("long").alias("e"), F.unix_date(left_date).alias("d")).distinct()
     lk = lk.withColumn("b", F.floor(F.col("d") / width).cast("int"))
     rk = right.filter(F.col(right_entity).isNotNull() & F.col(right_date).isNotNull() & F.col(right_id).isNotNull())
@@ -80,4 +88,4 @@ def nearest_in_time(
     got = lk.withColumn("g", bucket).groupBy("g").cogroup(rk.withColumn("g", bucket).groupBy("g")).applyInArrow(_pair(tolerance), "e long, d int, id long, dist int")
     got = got.select(F.col("e").alias("__e"), F.col("d").alias("__d"), F.col("id").alias("match_id"), F.col("dist").alias("match_days"))
     keyed = left.withColumn("__e", F.col(left_entity).cast("long")).withColumn("__d", F.unix_date(left_date))
-    return keyed.join(got, ["__e", "__d"], "left").drop("__e", "__d")
+    return left_join(keyed, got, ["__e", "__d"]).drop("__e", "__d")
