@@ -110,3 +110,21 @@ def is_quarterly(start: str | Column, end: str | Column) -> Column:
 def months_between_calendar(later: Column, earlier: Column) -> Column:
     """Difference of calendar months, whatever the days."""
     return (F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier)
+
+
+def accepted(x: str | Column, accept: tuple[str, ...], reject: tuple[str, ...]) -> Column:
+    """Whether a text holds one of ``accept`` and none of ``reject``, in any case; a null or
+    empty text is not accepted."""
+    t = F.upper(_c(x))
+    has = lambda words: F.exists(F.array(*[F.lit(w.upper()) for w in words]), lambda w: F.contains(t, w))
+    return F.coalesce(has(accept) & ~has(reject), F.lit(False))
+
+
+def shelf_form(x: str | Column) -> Column:
+    """Whether a form registers shares for later sale; null is none."""
+    return F.coalesce(F.upper(F.trim(_c(x))).rlike("^(S-3|424B)"), F.lit(False))
+
+
+def is_stale(seen: str | Column, value: str | Column, now: Column, hours: int) -> Column:
+    """Whether a value is missing or was last seen more than ``hours`` before ``now``."""
+    return _c(value).isNull() | F.coalesce(_c(seen) < now - F.make_dt_interval(F.lit(0), F.lit(hours)), F.lit(False))

@@ -38,3 +38,25 @@ def upsert(target: DataFrame, new: DataFrame, keys: list[str], order: list[Colum
     joined = target.withColumn("__old", F.lit(True)).join(src, keys, "full_outer")
     take = lambda c: F.when(F.col("__hit") & (F.col("__old").isNull() | F.lit(c in update)), F.col(f"__n_{c}")).otherwise(F.col(c))
     return joined.select(*keys, *[take(c).alias(c) for c in cols]).select(*target.columns)
+
+
+def overwrite(target: DataFrame, new: DataFrame, keys: list[str], order: list[Column], columns: list[str]) -> DataFrame:
+    """``target`` with ``columns`` replaced, nulls too, from the latest new row of a key; no
+    row is added, and rows without a new one stay as they are. Idempotent."""
+    last = latest(new, keys, order).select(*keys, *[F.col(c).alias(f"__n_{c}") for c in columns], F.lit(True).alias("__hit"))
+    j = target.join(last, keys, "left")
+    return j.select(*[F.when(F.col("__hit"), F.col(f"__n_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
+
+
+def replace_group(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``target`` without the rows of the groups in ``new``, and the rows of ``new``: delete
+    and insert per group. A group that ``new`` lacks stays; rows with a null key stay."""
+    return target.join(new.select(key).distinct(), key, "left_anti").unionByName(new.select(*target.columns))
+
+
+def mark(target: DataFrame, which: DataFrame, key: str, only: Column, **values: Column) -> DataFrame:
+    """``target`` with ``values`` set in the rows whose key is in ``which`` and for which
+    ``only`` holds; a second run changes nothing if ``only`` then no longer holds."""
+    j = target.join(which.select(key).distinct().withColumn("__hit", F.lit(True)), key, "left")
+    hit = F.coalesce(F.col("__hit") & only, F.lit(False))
+    return j.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in target.columns])

@@ -41,3 +41,17 @@ def run_stages(stages: list[Stage]) -> tuple[dict, Report]:
                 report.skipped = [x.name for x in stages[i + 1 :]]
                 break
     return results, report
+
+
+def run_parts(parts: list, load: Callable[[object], object]) -> tuple[dict, Report]:
+    """Results by part, such as the quarters of a backfill, each apart from the others: a
+    part that fails is reported, and the rest are loaded."""
+    results: dict[object, object] = {}
+    report = Report()
+    for p in parts:
+        try:
+            results[p] = load(p)
+            report.done.append(str(p))
+        except Exception as e:
+            report.failed[str(p)] = f"{type(e).__name__}: {e}"[:500]
+    return results, report

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import filings, problems
+from . import filings, loads, problems
 
-MODULES = (filings, problems)
+MODULES = (filings, loads, problems)
 
 
 def queries() -> dict:

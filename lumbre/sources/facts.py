@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.clean import item_list, shelf_form
+
 FACTS = (
     "cik string, facts struct<`us-gaap`: map<string, struct<units: map<string, array<struct<start: string, `end`: string, val: double, form: string, fy: int, fp: string>>>>>>"
 )
 SUBMISSIONS = (
-    "cik string, filings struct<recent: struct<form: array<string>, accessionNumber: array<string>, filingDate: array<string>, reportDate: array<string>, primaryDocument: array<string>, items: array<string>>>"
+    "cik string, sic string, sicDescription string, name string, filings struct<recent: struct<form: array<string>, accessionNumber: array<string>, filingDate: array<string>, reportDate: array<string>, primaryDocument: array<string>, items: array<string>>>"
 )
 HITS = "cik string, hits struct<hits: array<struct<_id: string, _source: struct<adsh: string, form: string, file_date: string, display_names: array<string>>>>>"
 
@@ -86,10 +88,24 @@ def latest_of_form(index: DataFrame, form: str, until=None) -> DataFrame:
     return f.groupBy("cik").agg(F.max_by(F.struct("accession_number", "filing_date", "document"), F.struct("filing_date", -F.col("pos"))).alias("f")).select("cik", "f.*")
 
 
+def sectors(submissions: DataFrame) -> DataFrame:
+    """(cik, sic, sector, nombre) of the companies whose documents name a sector code; of
+    several documents of a company the first code in order counts."""
+    named = submissions.filter(F.trim("sic") != "")
+    return named.groupBy("cik").agg(F.min(F.struct(F.trim("sic").alias("sic"), F.nullif(F.trim("sicDescription"), F.lit("")).alias("sector"), F.col("name").alias("nombre"))).alias("x")).select("cik", "x.*")
+
+
+def shelf_and_late(index: DataFrame, as_of, months: int) -> DataFrame:
+    """(cik, fecha_shelf, fecha_nt): newest shelf form and newest late-filing notice of each
+    company in the last ``months`` * 30 days, in one pass; null where there is none."""
+    recent = F.col("filing_date").between(F.date_sub(F.lit(as_of).cast("date"), months * 30), F.lit(as_of).cast("date"))
+    late = F.coalesce(F.upper(F.trim("form")).startswith("NT 10"), F.lit(False))
+    newest = lambda which: F.max(F.when(recent & which, F.col("filing_date")))
+    return index.groupBy("cik").agg(newest(shelf_form("form")).alias("fecha_shelf"), newest(late).alias("fecha_nt"))
+
+
 def current_reports(index: DataFrame, items: list[str], as_of, months: int) -> DataFrame:
     """Current reports with one of ``items`` in the last ``months`` * 30 days."""
-    from ..functions.clean import item_list
-
     hit = F.array_sort(F.array_intersect(item_list("items"), F.array(*[F.lit(i) for i in items])))
     since = F.date_sub(F.lit(as_of).cast("date"), months * 30)
     f = index.filter((F.col("form") == "8-K") & (F.col("filing_date") >= since)).withColumn("relevant", hit).filter(F.size("relevant") > 0)

@@ -87,3 +87,16 @@ def clean_transactions(submissions: DataFrame, owners: DataFrame, transactions:
         "_row",
     )
     return out if keep_invalid else out.filter("cik is not null and fecha_transaccion is not null")
+
+
+def load_quarter(spark: SparkSession, path: str, as_of, entities: DataFrame, natural: str = "cik", key: str = "empresa_id", zipped: bool = False) -> DataFrame:
+    """One quarter of ownership forms, from its three files to clean rows with the key of
+    their entity: scan, clean and foreign key. ``path`` is the folder of the files or, if
+    ``zipped``, of the archive that holds them."""
+    from .sinks import with_foreign_key
+
+    def read(name: str, columns: tuple[str, ...]) -> DataFrame:
+        return read_zipped_tsv(spark, path, f"{name}.tsv", columns) if zipped else read_tsv(spark, f"{path.rstrip('/')}/{name}.tsv", columns)
+
+    rows = clean_transactions(read("SUBMISSION", SUBMISSION), read("REPORTINGOWNER", OWNER), read("NONDERIV_TRANS", TRANSACTION), as_of)
+    return with_foreign_key(rows, entities, natural, key)

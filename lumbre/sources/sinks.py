@@ -19,10 +19,17 @@ def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = Non
     src, dst = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
     fs = dst.getFileSystem(spark._jsc.hadoopConfiguration())
     old = jvm.org.apache.hadoop.fs.Path(f"{staging}-old")
-    if fs.exists(dst):
-        fs.rename(dst, old)
-    if not fs.rename(src, dst):
-        raise OSError(f"could not move {staging} to {path}")
+    had = fs.exists(dst)
+    if had and not fs.rename(dst, old):
+        raise OSError(f"could not move {path} aside")
+    try:
+        moved = fs.rename(src, dst)
+    except Exception:
+        moved = False
+    if not moved:
+        if had:
+            fs.rename(old, dst)
+        raise OSError(f"could not move {staging} to {path}; the old table is back in its place")
     fs.delete(old, True)
     spark.catalog.refreshByPath(path)
 
