@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import filings, loads, problems
+from . import context, filings, loads, problems
 
-MODULES = (filings, loads, problems)
+MODULES = (filings, loads, context, problems)
 
 
 def queries() -> dict:
