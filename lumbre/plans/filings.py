@@ -477,6 +477,26 @@ def fn_sql(s, d):
     )
 
 
+def fn_numbers(s, d):
+    """Registered functions of figures and codes, from SQL."""
+    register.register_functions(s)
+    table(s, d, "insider_transactions").createOrReplaceTempView("lumbre_fn_tx")
+    return s.sql(
+        "SELECT id, lumbre_acciones(CAST(acciones AS STRING)) AS acciones, lumbre_numerico(CAST(precio_por_accion AS STRING)) AS precio, lumbre_importe(CAST(importe_total AS STRING)) AS importe, lumbre_entero(CAST(acciones_tras_tx AS STRING)) AS tras, "
+        "lumbre_codigo(tipo_transaccion) AS codigo, lumbre_signo(adquirido_o_dispuesto) AS signo, lumbre_trimestre(fecha_transaccion) AS trimestre FROM lumbre_fn_tx"
+    )
+
+
+def fn_texts(s, d):
+    """Registered functions of texts, from SQL."""
+    register.register_functions(s)
+    table(s, d, "documents").createOrReplaceTempView("lumbre_fn_docs")
+    return s.sql(
+        "SELECT doc_id, md5(lumbre_normalizado(text)) AS plegado, md5(lumbre_html_a_texto(text)) AS plano, md5(lumbre_seccion_mda(lumbre_html_a_texto(text)).texto) AS seccion, "
+        "get_json_object(lumbre_primer_json(text), '$.veredicto_preliminar') AS veredicto FROM lumbre_fn_docs"
+    )
+
+
 def dq_rules(s, d):
     """Rows that break the declared rules of three tables."""
     out = None
@@ -509,7 +529,7 @@ def f20_json(s, d):
 QUERIES = {f.__name__: f for f in (
     w1_clusters, w1_orders, w10_before, a1_window_totals, w2_titles, w3_growth, w4_margins, w4_cash, w7_labels, w9_sample, j6_quarter_of_filing, j7_shares, j8_price_before, j9_price_after, j11_purchases_before, a2_worklist,
     l7_group_limit, j16_no_recent_quarter, j17_with_shares, j20_history, j18_documents, k2_upsert, k10_insert, k3_quarters, a3_funnel, a5_columns, a6_upper_median, a7_median, a8_recall, a9_smallest, a10_buckets, l1_top,
-    l5_latest_purchases, n8_context, u2_drilldown, u4_parameters, f24_returns, f26_excess, w8_peaks, f_clean, f13_quarters, f15_items, f17_percent, f19_anonymous, n1_sector_json, s5_snapshot, s10_latest_by_form, j4_with_verdict, x17_unaudited, k5_fill, a11_split, a11_groups, fn_sql, dq_rules, dq_nulls, n4_sections, n5_items, n7_citations, f18_folded, s9_text, f20_json,
+    l5_latest_purchases, n8_context, u2_drilldown, u4_parameters, f24_returns, f26_excess, w8_peaks, f_clean, f13_quarters, f15_items, f17_percent, f19_anonymous, n1_sector_json, s5_snapshot, s10_latest_by_form, j4_with_verdict, x17_unaudited, k5_fill, a11_split, a11_groups, fn_sql, fn_numbers, fn_texts, dq_rules, dq_nulls, n4_sections, n5_items, n7_citations, f18_folded, s9_text, f20_json,
 )}
 
 # SQL ------------------------------------------------------------------------
@@ -760,6 +780,12 @@ FROM clusters c JOIN empresas e ON e.id = c.e WHERE c.found"""
 SQL["fn_sql"] = """
 SELECT id, cik, CASE WHEN precio_actual > 0 AND precio_actual <= 1000000 THEN CAST(precio_actual AS DOUBLE) END AS precio, nullif(trim(sector), '') AS sector,
   CASE WHEN precio_max_52w > precio_min_52w THEN round((CAST(precio_actual AS DOUBLE) - precio_min_52w) / (CAST(precio_max_52w AS DOUBLE) - precio_min_52w), 4) END AS posicion, CAST(length(ticker) AS INTEGER) AS largo FROM empresas"""
+SQL["fn_numbers"] = f"""
+SELECT id, CASE WHEN acciones <> 0 AND abs(acciones) <= 100000000000000 THEN abs(acciones) END AS acciones, CASE WHEN abs(precio_por_accion) <= 99999999 THEN CAST(precio_por_accion AS DOUBLE) END AS precio, CASE WHEN abs(importe_total) <= 9999999999999 THEN CAST(importe_total AS DOUBLE) END AS importe,
+  acciones_tras_tx AS tras, nullif({_CODE}, '') AS codigo, CASE WHEN upper(trim(adquirido_o_dispuesto)) IN ('A', 'D') THEN upper(trim(adquirido_o_dispuesto)) END AS signo, CAST(quarter(fecha_transaccion) AS INTEGER) AS trimestre FROM insider_transactions"""
+SQL["fn_texts"] = f"""
+WITH a AS ({SQL["f18_folded"]}), b AS ({SQL["s9_text"]}), c AS ({SQL["n4_sections"]}), e AS ({SQL["f20_json"]})
+SELECT a.doc_id, a.huella AS plegado, b.huella AS plano, c.huella AS seccion, e.veredicto FROM a JOIN b ON b.doc_id = a.doc_id JOIN c ON c.doc_id = a.doc_id JOIN e ON e.doc_id = a.doc_id"""
 _DQ = {
     "empresas": {"ticker_largo": "length(ticker) <= 10", "bolsa_largo": "length(bolsa) <= 20", "cik_formato": "regexp_matches(cik, '^[0-9]{10}$')"},
     "metricas_trimestrales": {"trimestre_dominio": "trimestre BETWEEN 1 AND 4", "periodo_orden": "fecha_inicio < fecha_fin", "publicada_despues": "fecha_filing >= fecha_fin"},
