@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, quality, register, text
 from ..operators import asof as joins
 from ..operators import cluster, pit, series, upsert
-from ..session import left_join, table
+from ..session import cut_lineage, left_join, table
 from ..sources import market, sinks
 
 DAY = "yyyy-MM-dd"
@@ -462,9 +462,10 @@ def a11_split(s, d):
 
 def a11_groups(s, d):
     """Every entity with a cluster and its group, with the counts of both groups."""
-    j = _clustered(s, d)
-    n = j.agg(F.count_if("grande").alias("grandes"), F.count_if(~F.col("grande")).alias("resto"))
-    return j.crossJoin(F.broadcast(n)).select("empresa_id", "ticker", "market_cap_usd", _day("detected").alias("detected"), F.when(F.col("grande"), "grande").otherwise("resto").alias("grupo"), "grandes", "resto")
+    j = cut_lineage(_clustered(s, d))
+    n = j.agg(F.count_if("grande").alias("grandes"), F.count_if(~F.col("grande")).alias("resto")).first()
+    counts = [F.lit(n[c]).cast("long").alias(c) for c in ("grandes", "resto")]
+    return j.select("empresa_id", "ticker", "market_cap_usd", _day("detected").alias("detected"), F.when(F.col("grande"), "grande").otherwise("resto").alias("grupo"), *counts)
 
 
 def fn_sql(s, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pit, rolling, spikes
 from ..operators.upsert import latest
-from ..session import table
+from ..session import cut_lineage, table
 
 
 def text_day(c) -> F.Column:
@@ -51,10 +51,11 @@ def p2_totales(spark: SparkSession, d: str) -> DataFrame:
     )
     moves = rolling.presence_deltas(buys, "empresa_id", "insider", "dia", (7, 30))
     moves = moves.select(F.col("e").alias("empresa_id"), F.col("d").alias("dia"), *[F.when(F.col("w") == w, F.col("delta")).otherwise(0).cast("long").alias(f"c{w}") for w in (7, 30)])
-    known = F.broadcast(leaves.agg(F.min("dia").alias("inicio"), F.greatest(F.max("dia") + 29, F.max("registro")).alias("fin")).filter("inicio is not null"))
-    moves = moves.crossJoin(known).filter("dia <= fin").drop("inicio", "fin")  # the last buyers leave after the last day
+    leaves = cut_lineage(leaves)  # one row per empresa and day, for the ends of the calendar and for the trees
+    ends = leaves.agg(F.min("dia").alias("a"), F.greatest(F.max("dia") + 29, F.max("registro")).alias("z")).first()
     every = table(spark, d, "empresas").select(F.col("id").alias("empresa_id")).unionByName(leaves.select("empresa_id")).filter("empresa_id is not null").distinct()
-    edges = every.crossJoin(known).select("empresa_id", F.explode(F.array("inicio", "fin")).alias("dia"))
+    edges = every.select("empresa_id", F.explode(F.array(F.lit(ends["a"]).cast("int"), F.lit(ends["z"]).cast("int"))).alias("dia")).filter("dia is not null")
+    moves = moves.filter(F.col("dia") <= F.lit(ends["z"]).cast("int"))  # the last buyers leave after the last day
     both = leaves.drop("registro").unionByName(moves, allowMissingColumns=True).unionByName(edges, allowMissingColumns=True)
     names = ["compras", "acciones", "centimos", "c7", "c30"]
     both = both.groupBy("empresa_id", "dia").agg(*[F.sum(F.coalesce(F.col(v), F.lit(0))).alias(v) for v in names])
