@@ -124,8 +124,9 @@ def closings(docs: DataFrame, text: str, least: int, share: float) -> DataFrame:
     one = docs.select(F.explode(found).alias("m")).select(*[F.regexp_extract("m", _CLOSING, i).alias(f"w{i}") for i in (1, 2, 4)])
     small = F.col("w4").rlike(r"^\p{Ll}").cast("long")
     n = one.groupBy(closing(F.col("w1"), F.col("w2")).alias("k")).agg(F.sum(1 - small).alias("cierra"), F.sum(small).alias("sigue"))
-    total = F.broadcast(n.agg(F.sum("cierra").alias("cierres")))  # one row
-    return n.crossJoin(total).filter(F.col("cierra") >= F.greatest(F.lit(float(least)), F.col("cierres") * share)).select("k", "cierra", "sigue")
+    n = cut_lineage(n)  # one row per pair of words, for the sum and for the filter
+    total = n.agg(F.sum("cierra")).first()[0] or 0
+    return n.filter(F.col("cierra") >= max(float(least), total * share))
 
 
 def votes(read: DataFrame, docs: DataFrame, text: str) -> DataFrame:
