@@ -31,8 +31,8 @@ _END = r"[.!?][\"'”’»)\]]*$"
 _ROW = r"^\S.*?\s{2,}[$(]?[\d,.]++\)?%?(?:\s++[$(]?[\d,.]++\)?%?)*+$"
 _BULLET = r"^\s*(?:[-•*–]|\d+[.)])\s+\S"
 _SENTENCE_START = r"[.!?]\s+\S"
-#: The last two words of a sentence and what follows it.
-_CLOSING = r"(\S+)\s+(\S+?)([.!?])[\"'”’»)\]]*\s+[\"'“‘(\[]?(\S)"
+#: What stands between two sentences.
+_STOP = r"[.!?][\"'”’»)\]]*\s+[\"'“‘(\[]?"
 _LABEL = r"^((?:\p{L}+:\s*)?(?:/\p{L}/|\p{L}+:))\s*\S+\s+\S"
 #: Classes whose endings the corpus votes on.
 VOTED = ("nota", "lista", "tabla", "linea")
@@ -42,7 +42,7 @@ def skeleton(line: Column) -> Column:
     """The line with its bullet, numbers and names (capital letters inside) taken out."""
     s = F.regexp_replace(F.trim(line), r"^\s*(?:\(\d+\)|[-•*–]|\d+[.)])\s+", "")
     s = F.regexp_replace(s, r"\d[\d,.]*\d|\d", "0")
-    s = F.regexp_replace(s, r"(?<=\s)\p{Lu}[\p{L}\p{N}'’.&-]*(?:\s+\p{Lu}[\p{L}\p{N}'’.&-]*)*", "X")
+    s = F.regexp_replace(s, r"(?<=\s)\p{Lu}[\p{L}\p{N}'’.&-]*+(?:\s++\p{Lu}[\p{L}\p{N}'’.&-]*+)*+", "X")
     return F.regexp_replace(s, r"\s+", " ")
 
 
@@ -63,11 +63,13 @@ def endings(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     t, b, x, last, prev, c = (F.col(k) for k in ("t", "b", "x", "l", "p", "clase"))
     base = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("s"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     is_json = t.rlike(r"^\s*(?:\{|\[\s*\")")
-    base = _once(base, [], h=F.xxhash64("t"), n=F.length("t").cast("long"), core=F.length(F.regexp_replace("t", _LEFT, "")).cast("long"), json=is_json, broken=F.when(is_json, F.try_parse_json(t).isNull()).otherwise(False), longest=F.when(is_json, _longest(t)).otherwise(t))
+    base = _once(base, [], h=F.xxhash64("t"), n=F.length("t").cast("long"), ct=F.regexp_replace(F.right(t, F.lit(_REACH)), _LEFT, ""), json=is_json, broken=F.when(is_json, F.try_parse_json(t).isNull()).otherwise(False), longest=F.when(is_json, _longest(t)).otherwise(t))
     # inside JSON the longest value is the text; short values and nested objects are no prose
     prose = ~F.col("json") | (F.length("longest") >= 40) & ~F.col("longest").rlike(r"^\s*[{\[]")
-    base = base.select("id", "s", "h", "n", "core", "broken", F.when(prose, F.col("longest")).otherwise("").alias("b"))
-    base = _once(base, [], x=F.regexp_replace(b, _MARKS, ""))
+    core = F.length(_joined(t, F.col("ct"), _LEFT)).cast("long")
+    base = base.select("id", "s", "h", "n", core.alias("core"), "broken", F.when(prose, F.col("longest")).otherwise("").alias("b"))
+    base = _once(base, [], xt=F.regexp_replace(F.right(b, F.lit(_REACH)), _MARKS, ""))
+    base = _once(base, ["xt"], x=_joined(b, F.col("xt"), _MARKS))
     lower = F.substring_index("x", "\n", -1)
     before = F.rtrim(F.substring(x, F.lit(1), F.length("x") - F.length(lower)), F.lit(" \t\r\n"))
     base = _once(base, [], l=F.trim(lower), p=F.trim(F.substring_index(before, "\n", -1)))
@@ -82,11 +84,12 @@ def endings(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
         .when((prev != "") & (words <= 8) & ~last.rlike(r"[,;]$"), "linea")
         .otherwise("frase")
     )
-    open_quote = (F.regexp_count(x, F.lit("“")) > F.regexp_count(x, F.lit("”"))) & last.contains("“")
+    open_quote = last.contains("“") & (F.regexp_count(x, F.lit("“")) > F.regexp_count(x, F.lit("”")))
+    end = F.right(x, F.lit(_REACH))
     open_tag = b.contains("<p>") & (F.regexp_count(b, F.lit("<p>")) > F.regexp_count(b, F.lit("</p>")))
     base = _once(base, ["b", "x", "p", "row"], clase=(
-        F.when(F.col("broken"), "json").when(x == "", "").when(x.rlike(_ELLIPSIS), "elipsis").when(x.rlike(_REST), "resto").when(open_tag, "marcado")
-        .when(x.rlike(_END), F.when(open_quote, "comillas").otherwise("fin")).otherwise(rest)
+        F.when(F.col("broken"), "json").when(x == "", "").when(end.rlike(_ELLIPSIS), "elipsis").when(end.rlike(_REST), "resto").when(open_tag, "marcado")
+        .when(end.rlike(_END), F.when(open_quote, "comillas").otherwise("fin")).otherwise(rest)
     ))
     estado = F.when(c.isin("json", "elipsis", "resto", "marcado", "comillas", "corta"), "roto").when(c.isin("", "fin"), "completo").otherwise("abierto")
     base = _once(base, [], tail=F.when(~c.isin(*VOTED), F.regexp_replace(last, r"[.!?][\"'”’»)\]]*$", "")))
@@ -100,6 +103,19 @@ def endings(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     return base.select("id", "s", "n", "core", "h", estado.alias("estado"), "clase", k.alias("k"), label.alias("etiqueta"))
 
 
+#: Characters at the end of a text that are searched first for what may be taken off it;
+#: no single piece of that is longer than ``_PIECE``.
+_REACH, _PIECE = 400, 100
+
+
+def _joined(t: Column, tail: Column, pattern: str) -> Column:
+    """``t`` without ``pattern`` at its end, where ``tail`` is what that leaves of its last
+    ``_REACH`` characters. If it leaves too little to be sure that nothing before them
+    belongs to it, the whole text is searched."""
+    n = F.length(t)
+    return F.when(n <= _REACH, tail).when(F.length(tail) > _PIECE, F.concat(F.substring(t, F.lit(1), n - _REACH), tail)).otherwise(F.regexp_replace(t, pattern, ""))
+
+
 def _longest(t: Column) -> Column:
     values = F.map_values(F.from_json(t, "map<string,string>"))
     return F.coalesce(F.aggregate(values, F.lit(""), lambda a, y: F.when(F.length(y) > F.length(a), y).otherwise(a)), F.lit(""))
@@ -120,10 +136,12 @@ def closings(docs: DataFrame, text: str, least: int, share: float) -> DataFrame:
     stop is followed by a small letter instead, as after an abbreviation.
 
     Every sentence of every text counts; counts are combined before the shuffle."""
-    found = F.expr(f"regexp_extract_all({text}, r'{_CLOSING.replace(chr(39), chr(92) + 'x27')}', 0)")
-    one = docs.select(F.explode(found).alias("m")).select(*[F.regexp_extract("m", _CLOSING, i).alias(f"w{i}") for i in (1, 2, 4)])
-    small = F.col("w4").rlike(r"^\p{Ll}").cast("long")
-    n = one.groupBy(closing(F.col("w1"), F.col("w2")).alias("k")).agg(F.sum(1 - small).alias("cierra"), F.sum(small).alias("sigue"))
+    parts = _once(docs.select(F.col(text).alias("__t")), ["__t"], s=F.split("__t", _STOP))
+    ends = F.transform(F.slice("s", 1, F.size("s") - 1), lambda x, i: F.struct(F.substring_index(F.trim(F.translate(x, "\n\t\r", "   ")), " ", -2).alias("w"), F.substring(F.get("s", i + 1), 1, 1).rlike(r"\p{Ll}").alias("small")))
+    one = parts.filter(F.size("s") > 1).select(F.explode(ends).alias("m")).groupBy("m.w", "m.small").agg(F.count(F.lit(1)).alias("c"))  # before the keys are made
+    w = F.split("w", " ")
+    n = one.filter(F.size(w) == 2).groupBy(closing(F.get(w, F.lit(0)), F.get(w, F.lit(1))).alias("k"))
+    n = n.agg(F.sum(F.when(F.col("small"), 0).otherwise(F.col("c"))).alias("cierra"), F.sum(F.when(F.col("small"), F.col("c")).otherwise(0)).alias("sigue"))
     n = cut_lineage(n)  # one row per pair of words, for the sum and for the filter
     total = n.agg(F.sum("cierra")).first()[0] or 0
     return n.filter(F.col("cierra") >= max(float(least), total * share))

@@ -114,3 +114,9 @@ def test_nulls_copies_long_texts_and_empty(spark):
     got = {x["doc_id"]: x["cortado"] for x in tr.judge_endings(df, "doc_id", "text", "source").collect()}
     assert got == {1: False, 2: False, 3: False, 4: True, 5: True, 6: False}
     assert tr.judge_endings(df.limit(0), "doc_id", "text", "source").count() == 0
+
+
+def test_texts_without_blanks_and_endless_names_take_no_longer(spark):
+    rows = [(1, "x" * 2_000_000, "a"), (2, "- y\n- " + "Ab " * 60_000 + "end", "a"), (3, "." * 300_000, "a"), (4, "-" * 300_000 + "x", "a"), (5, "<" * 100_000, "a"), (6, '{"a": "' + "\\n" * 100_000 + '"}', "a"), (7, "a  1 " * 50_000, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert tr.judge_endings(df, "doc_id", "text", "source").count() == 7
