@@ -25,7 +25,7 @@ VERSIONS = 20
 #: Readings that level, trend and season of a series use up.
 SPENT = 3.0
 #: Risk of a normal reading to be taken for a spike.
-RISK = 4e-3
+RISK = 3e-3
 #: 80 % quantile over the median of an absolute normal deviate.
 NORMAL_80 = 1.9
 
@@ -275,7 +275,7 @@ def flag_implausible(
     risk: float = RISK,
     min_change: float = 0.0,
     min_run: int = 4,
-    prior: float = 10.0,
+    prior: float = 20.0,
     edge: float = 1.8,
 ) -> DataFrame:
     """One row (row_id, campo, motivo) per reading that cannot be right.
