@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean
+from .place import file_place
 
 # The columns read from each file.
 SUBMISSION = ("accession_number", "filing_date", "period_of_report", "issuercik", "issuername", "issuertradingsymbol")
@@ -25,11 +26,9 @@ def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFr
     start of the row's split in the file and then its turn in the split, whatever the
     order in which splits are read."""
     raw = spark.read.csv(path, sep="\t", header=True, inferSchema=False, quote="", nullValue="", ignoreLeadingWhiteSpace=False)
-    turn = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(11,0)")
-    place = (F.col("_metadata.file_block_start").cast("decimal(19,0)") * F.lit(1 << 33).cast("decimal(11,0)") + turn).cast("decimal(38,0)")
     names = {c.lower(): c for c in raw.columns}
     pick = [F.col(f"`{names[c]}`").alias(c) if c in names else F.lit(None).cast("string").alias(c) for c in columns]
-    return raw.select(*pick, F.col("_metadata.file_path").alias("_file"), place.alias("_row"))
+    return raw.select(*pick, F.col("_metadata.file_path").alias("_file"), file_place().alias("_row"))
 
 
 def read_zipped_tsv(spark: SparkSession, path: str, member: str, columns: tuple[str, ...]) -> DataFrame:

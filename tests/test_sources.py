@@ -89,7 +89,7 @@ def test_case_lists(spark, tmp_path):
     (tmp_path / "b.csv").write_text("empresa_id,ticker,fecha_deteccion,market_cap_historico\n5,ZZ,2021-01-01,9.5\n6,AA,2019-01-01,\n")
     a, b = cases.read_cases(spark, str(tmp_path / "a.csv")), cases.read_cases(spark, str(tmp_path / "b.csv"))
     assert [r["ticker"] for r in a.collect()] == ["AAA"]
-    assert [r["ticker"] for r in cases.distinct_tickers(b).collect()] == ["AA", "ZZ"]
+    assert [r["ticker"] for r in cases.distinct_tickers(b).collect()] == ["ZZ", "AA"]  # as the list names them, not by date
     assert cases.read_cases(spark, str(tmp_path / "b.csv"), "zz").first()["empresa_id"] == 5
     cases.write_csv(b, str(tmp_path / "out"), ["ticker"])
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2
