@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, left_join
 
 # Shapes of endings ----------------------------------------------------------
 
@@ -263,7 +263,8 @@ def judge_endings(
     event = F.when(open_, F.when(F.col("clase").isin(*VOTED), F.concat_ws("|", "clase", "k")).otherwise(F.col("h").cast("string")))
     both = read.select("s", "h", event.alias("e"), F.explode(F.array(F.struct(F.lit("n").alias("m"), F.col("n").alias("l")), F.struct(F.lit("core").alias("m"), F.col("core").alias("l")))).alias("x"))
     both = both.filter("x.l > 0").select(F.struct(F.col("s"), F.col("x.m").alias("m")).alias("sm"), F.col("x.l").alias("l"), "h", "e").distinct()
-    j = read.join(v.filter("clase <> 'etiqueta'"), ["clase", "k"], "left").join(labels, "etiqueta", "left").join(finals, "k", "left")
+    j = read.withColumn("etiqueta", F.nullif("etiqueta", F.lit(""))).join(v.filter("clase <> 'etiqueta'"), ["clase", "k"], "left")
+    j = left_join(j, labels, ["etiqueta"]).join(F.broadcast(finals), "k", "left")  # closings are at most 1 / closing_share
     if use_limits:
         sig = length_hazards(both, "sm", "l", "e", fdr=fdr, least=least).filter("significant")
         for m in ("n", "core"):
