@@ -313,17 +313,22 @@ def f24_returns(s, d):
     return r.select("event_id", F.when(ok, F.round((F.col("out_cierre") - F.col("in_cierre")) / F.col("in_cierre"), 6)).alias("retorno"))
 
 
+def _growth(out, first):
+    """Growth as the SQL has it: infinite over zero, NaN from zero to zero."""
+    return F.when(F.col(first) == 0, F.col(out) * F.lit(float("inf"))).otherwise(F.col(out) / F.col(first)) - 1
+
+
 def f26_excess(s, d):
     """Entry from day 7, exit at the last price up to day 12 after it, at most 5 days
     stale; the excess is over the mean of all users on the same days."""
-    r = _returns(s, d, 7, 12, ("last", -5, 0)).withColumn("ret", F.col("out_cierre") / F.col("in_cierre") - 1)
+    r = _returns(s, d, 7, 12, ("last", -5, 0)).withColumn("ret", _growth("out_cierre", "in_cierre"))
     m = table(s, d, "events").groupBy(F.to_date("ts").alias("dia")).agg(F.round(F.avg(F.col("value").cast("decimal(18,4)")), 4).cast("double").alias("media"))
     days = _asks(s, d).select("d0").distinct()
     days = days.select(F.explode(F.array(F.date_add("d0", 7), F.date_add("d0", 19))).alias("day"))
     b = joins.lookups(days, m, None, "day", "dia", "media", {"entra": ("first", 0, 11), "sale": ("last", -5, 0)})
     r = left_join(r, b.select(F.col("day").alias("d1"), F.col("entra").alias("in_media")), ["d1"])
     r = left_join(r, b.select(F.col("day").alias("d2"), F.col("sale").alias("out_media")), ["d2"])
-    ref = F.col("out_media") / F.col("in_media") - 1
+    ref = _growth("out_media", "in_media")
     return r.select("event_id", F.round("ret", 6).alias("retorno"), F.round(F.col("ret") - ref, 6).alias("exceso"))
 
 

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from lumbre.plans import registry
 
 
@@ -34,3 +36,24 @@ def test_a_horizon_beyond_the_last_event_is_as_in_its_sql(spark, tmp_path, day):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(map(str, got)) == sorted(map(str, con.execute(registry.oracle_sql()["a6_horizons"]).fetchall()))
+
+
+ZEROS = {
+    "entry": [(1, 0, 10.0), (1, 7, 0.0), (1, 19, 5.0), (2, 0, 10.0), (2, 7, 10.0), (2, 19, 20.0), (3, 0, 1.0), (3, 8, 0.0), (3, 18, 0.0), (4, 0, 1.0), (4, 9, 0.0), (4, 17, -2.0), (5, 0, 1.0), (5, 9, 0.0), (6, 0, 1.0), (6, 9, 3.0), (6, 17, 0.0)],
+    "mean": [(1, 0, 10.0), (1, 7, 0.0), (1, 19, 5.0), (2, 0, 10.0), (2, 8, 4.0), (2, 18, 6.0), (3, 0, 1.0)],
+    "all": [(1, 0, 10.0), (1, 7, 0.0), (1, 19, 0.0)],
+}
+
+
+@pytest.mark.parametrize("case", ZEROS)
+def test_excess_over_zero_is_as_in_its_sql(spark, tmp_path, day, case):
+    import duckdb
+
+    write(spark, tmp_path, day, ZEROS[case])
+    got = [tuple(r) for r in run(spark, tmp_path, "f26_excess")]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    key = lambda r: str([abs(x) if x != x else x for x in r])  # noqa: E731  # NaN has no sign
+    assert sorted(map(key, got)) == sorted(map(key, con.execute(registry.oracle_sql()["f26_excess"]).fetchall()))
+    if case == "entry":
+        assert {r[0]: r[1] for r in got}[0] == float("inf")
