@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import asof, cluster, pit, series
 from ..session import left_join, table
 from .config import Config
-from .filings import _BUYS, _CASES, _PR, _asks, _buys, _look, _prices
+from .filings import _BUYS, _CASES, _PR, _asks, _buys, _look, _mean_value, _prices, _rounded
 from .filings import SQL as FILINGS
 from .filings import n7_citations as _citations
 
@@ -119,7 +119,7 @@ def a6_horizons(s, d):
 
     Over a first value of zero there is no return: such purchases are left out too (the SQL
     has no result then, as it takes sums of decimals). The share is NaN where none is left."""
-    m = table(s, d, "events").groupBy(F.to_date("ts").alias("dia")).agg(F.round(F.avg(F.col("value").cast("decimal(18,4)")), 4).cast("double").alias("media"))
+    m = table(s, d, "events").groupBy(F.to_date("ts").alias("dia")).agg(_mean_value().alias("media"))
     a = _asks(s, d)
     # all horizons in one pass: entry at the first value from day 7 after the purchase, at most 11
     # days later; exit at the last up to ``n`` days after day 7, at most 5 days stale
@@ -127,12 +127,12 @@ def a6_horizons(s, d):
     v = asof.lookups(a, _prices(s, d), "user_id", "d0", "dia", "cierre", frames)
     b = asof.lookups(a, m, None, "d0", "dia", "media", frames).select("d0", *[F.col(c).alias(f"m_{c}") for c in frames])
     r = left_join(left_join(a, v, ["user_id", "d0"]), b, ["d0"])
-    growth = lambda out, first: F.round(F.try_divide(out, first) - 1, 6)
+    growth = lambda out, first: _rounded(F.try_divide(out, first) - 1, 6)
     r = r.select(F.inline(F.array(*[F.struct(F.lit(n).alias("dias"), growth(f"sale{n}", "entra").alias("ret"), growth(f"m_sale{n}", "m_entra").alias("ref")) for n in (12, 24)])))
-    parts = r.withColumn("exceso", F.round(F.col("ret") - F.col("ref"), 6))
+    parts = r.withColumn("exceso", _rounded(F.col("ret") - F.col("ref"), 6))
     # sums of decimals, so that the order of rows changes nothing
-    mean = lambda c: F.round(F.sum(F.when(F.col("exceso").isNotNull(), F.col(c)).cast("decimal(20,6)")) / F.count("exceso"), 4).cast("double")
-    a = parts.groupBy("dias").agg(F.count("exceso").alias("n"), mean("ret").alias("retorno"), mean("ref").alias("referencia"), mean("exceso").alias("exceso"), F.coalesce(F.round(F.try_divide(F.count_if(F.col("exceso") > 0), F.count("exceso")), 6), F.lit(float("nan"))).alias("superan"), (F.count(F.lit(1)) - F.count("exceso")).alias("excluidos"))
+    mean = lambda c: _rounded(F.try_divide(F.sum(F.when(F.col("exceso").isNotNull(), F.col(c)).cast("decimal(20,6)")).cast("double"), F.count("exceso")), 4)
+    a = parts.groupBy("dias").agg(F.count("exceso").alias("n"), mean("ret").alias("retorno"), mean("ref").alias("referencia"), mean("exceso").alias("exceso"), F.coalesce(_rounded(F.try_divide(F.count_if(F.col("exceso") > 0), F.count("exceso")), 6), F.lit(float("nan"))).alias("superan"), (F.count(F.lit(1)) - F.count("exceso")).alias("excluidos"))
     med = series.medians(parts, ["dias"], "exceso").select(F.col("dias"), F.col("alto").alias("mediana_alta"))
     return a.join(med, "dias", "left")
 

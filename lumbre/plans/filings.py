@@ -125,8 +125,19 @@ def j7_shares(s, d):
     return got.select("caso_id", "shares_outstanding")
 
 
+def _rounded(c, n):
+    """Doubles rounded as the SQL does it: 67.49125 is 674912.4999... ten-thousandths, so 67.4912;
+    F.round goes by the digits and says 67.4913."""
+    return F.round(c * F.lit(10.0**n), 0) / F.lit(10.0**n)
+
+
+def _mean_value():
+    """Aggregate: the mean value of events; their sum is exact, so the order of rows changes nothing."""
+    return _rounded(F.try_divide(F.sum(F.col("value").cast("decimal(18,4)")).cast("double"), F.count("value")), 4)
+
+
 def _prices(s, d):
-    e = table(s, d, "events").groupBy("user_id", F.to_date("ts").alias("dia")).agg(F.round(F.avg(F.col("value").cast("decimal(18,4)")), 4).cast("double").alias("cierre"))
+    e = table(s, d, "events").groupBy("user_id", F.to_date("ts").alias("dia")).agg(_mean_value().alias("cierre"))
     return e.withColumn("visto", F.col("dia"))
 
 
@@ -322,14 +333,14 @@ def f26_excess(s, d):
     """Entry from day 7, exit at the last price up to day 12 after it, at most 5 days
     stale; the excess is over the mean of all users on the same days."""
     r = _returns(s, d, 7, 12, ("last", -5, 0)).withColumn("ret", _growth("out_cierre", "in_cierre"))
-    m = table(s, d, "events").groupBy(F.to_date("ts").alias("dia")).agg(F.round(F.avg(F.col("value").cast("decimal(18,4)")), 4).cast("double").alias("media"))
+    m = table(s, d, "events").groupBy(F.to_date("ts").alias("dia")).agg(_mean_value().alias("media"))
     days = _asks(s, d).select("d0").distinct()
     days = days.select(F.explode(F.array(F.date_add("d0", 7), F.date_add("d0", 19))).alias("day"))
     b = joins.lookups(days, m, None, "day", "dia", "media", {"entra": ("first", 0, 11), "sale": ("last", -5, 0)})
     r = left_join(r, b.select(F.col("day").alias("d1"), F.col("entra").alias("in_media")), ["d1"])
     r = left_join(r, b.select(F.col("day").alias("d2"), F.col("sale").alias("out_media")), ["d2"])
     ref = _growth("out_media", "in_media")
-    return r.select("event_id", F.round("ret", 6).alias("retorno"), F.round(F.col("ret") - ref, 6).alias("exceso"))
+    return r.select("event_id", _rounded(F.col("ret"), 6).alias("retorno"), _rounded(F.col("ret") - ref, 6).alias("exceso"))
 
 
 def w8_peaks(s, d):
